@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, packing, simhash
-from palimpsest.llm.common import table
+from palimpsest.llm import decontaminate, langid, packing, quality, simhash
+from palimpsest.llm.common import crc_bucket, table
 
 
 def public_tokenizer() -> tuple[str, str, str]:
@@ -18,6 +18,22 @@ def public_tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with crc32(doc_id) mod 4 = 2 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 4) == 2
+    found = langid.identify(docs, langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows with crc32(doc_id) mod 3 = 1 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), *public_tokenizer())
@@ -37,6 +53,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op10_decontamination": op10_decontamination,
