@@ -22,7 +22,7 @@ from palimpsest.llm.common import crc_bucket, fraction_of
 
 #: Labelled documents that a fit uses at most (about; they are drawn by a hash).
 SAMPLE = 10_000
-PENALTY = 0.001
+PENALTY = 0.002
 
 STATISTICS = ["chars", "words", "word_length", "distinct_words", "repeated_next", "upper", "digits", "symbols", "bars", "exclamations", "punctuation", "not_ascii", "spaces", "line_words"]
 _PREFIX = "_stat_"
@@ -71,11 +71,9 @@ class RuleEnsemble:
 
     def column(self) -> Column:
         """Probability of label 1, as an expression over the statistics' columns."""
-        features = [F.col(_PREFIX + s) for s in STATISTICS]
-        margin = F.lit(self.intercept)
-        for rule, weight in zip(self.rules, self.weights, strict=True):
-            margin = margin + F.when(trees.rule_column(rule, features), F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        features = [_PREFIX + s for s in STATISTICS]
+        terms = [f"if({trees.rule_sql(rule, features)}, {weight!r}D, 0D)" for rule, weight in zip(self.rules, self.weights, strict=True)]
+        return F.expr(f"1 / (1 + exp(-({' + '.join([f'{self.intercept!r}D', *terms])})))")
 
     def __str__(self) -> str:
         said = [" and ".join(f"{STATISTICS[f]} {'<=' if m else '>'} {t:.4g}" for f, m, t in rule) for rule in self.rules]
@@ -91,7 +89,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> RuleEns
     covered = np.stack([trees.holds(rule, x) for rule in rules], axis=1).astype(np.float32)
     weights, intercept = trees.lasso_logistic(covered, y.astype(np.float32), penalty)
     kept = np.flatnonzero(np.abs(weights) > 1e-6)
-    return RuleEnsemble([rules[i] for i in kept], [float(weights[i]) for i in kept], intercept)
+    return RuleEnsemble([rules[i] for i in kept], [float(weights[i]) for i in kept], float(intercept))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, penalty: float = PENALTY) -> RuleEnsemble:

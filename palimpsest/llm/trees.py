@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: A condition of a rule: feature number, whether it is "at most" (else "more than"), threshold.
 Condition = tuple[int, bool, float]
@@ -35,7 +32,7 @@ def grow(bins: Bins, target: np.ndarray, weight: np.ndarray, depth: int, rng: np
     rows = np.arange(len(target)) if rows is None else rows
     w, t = weight[rows], target[rows]
     total, weighed = w.sum(), float((w * t).sum())
-    node = Node(weighed / max(total, 1e-12))
+    node = Node(float(weighed / max(total, 1e-12)))
     if depth == 0 or total < 2 * least:
         return node
     best = (1e-9, -1, 0)
@@ -67,11 +64,11 @@ def predict(node: Node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, node.feature] <= node.threshold, predict(node.low, x), predict(node.high, x))
 
 
-def as_column(node: Node, features: list[Column]) -> Column:
-    """The tree as a nested CASE expression."""
+def as_sql(node: Node, features: list[str]) -> str:
+    """The tree as a nested IF over named columns."""
     if node.feature < 0:
-        return F.lit(float(node.value))
-    return F.when(features[node.feature] <= F.lit(node.threshold), as_column(node.low, features)).otherwise(as_column(node.high, features))
+        return f"{node.value!r}D"
+    return f"if({features[node.feature]} <= {node.threshold!r}D, {as_sql(node.low, features)}, {as_sql(node.high, features)})"
 
 
 def paths(node: Node, so_far: tuple[Condition, ...] = ()) -> list[tuple[Condition, ...]]:
@@ -95,8 +92,8 @@ def holds(rule: tuple[Condition, ...], x: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([x[:, f] <= t if at_most else x[:, f] > t for f, at_most, t in rule])
 
 
-def rule_column(rule: tuple[Condition, ...], features: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [features[f] <= F.lit(t) if at_most else features[f] > F.lit(t) for f, at_most, t in rule])
+def rule_sql(rule: tuple[Condition, ...], features: list[str]) -> str:
+    return " and ".join(f"{features[f]} {'<=' if at_most else '>'} {t!r}D" for f, at_most, t in rule)
 
 
 def forest(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 8, seed: int = 0) -> list[Node]:
@@ -133,11 +130,11 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30
     w, b = np.zeros(k, a.dtype), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-(a @ vw + vb))) - y
-        new = vw - step * (a.T @ r) / n
-        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        r = 1 / (1 + np.exp(-(a @ vw + a.dtype.type(vb)))) - y
+        new = vw - a.dtype.type(step / n) * (a.T @ r)
+        new = (np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)).astype(a.dtype)
         nb = vb - step * float(r.mean())
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = new + (t - 1) / u * (new - w), nb + (t - 1) / u * (nb - b)
+        vw, vb = new + a.dtype.type((t - 1) / u) * (new - w), nb + (t - 1) / u * (nb - b)
         w, b, t = new, nb, u
     return w, b
