@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, packing, quality, simhash
+from palimpsest.llm import decontaminate, langid, linedup, packing, quality, simhash
 from palimpsest.llm.common import crc_bucket, table
 
 
@@ -45,6 +45,34 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that occur on at least ten sites: how many lines it had and lost, and what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.size(F.split("text", "\n", -1)).alias("had"))
+    kept = linedup.strip_boilerplate(docs)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("had")).cast("long")
+    return kept.select("doc_id", lines.alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+with lines as (
+    select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as place
+    from documents where text is not null),
+shared as (
+    select line from lines where line <> '' group by line having count(distinct source) >= 10),
+marked as (
+    select doc_id, lines.line, place, shared.line is not null as bad from lines left join shared on lines.line = shared.line),
+judged as (
+    select doc_id, count(*) as n_lines, count(*) filter (bad) as n_bad,
+        coalesce(sum(length(line)) filter (bad), 0) > 0 and 2 * coalesce(sum(length(line)) filter (bad), 0) <= sum(length(line)) as cut
+    from marked group by doc_id),
+kept as (
+    select doc_id, string_agg(line, chr(10) order by place) as text from marked join judged using (doc_id) where not (cut and bad) group by doc_id)
+select documents.doc_id, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed,
+    length(kept.text) as n_chars_kept, sha256(kept.text) as kept_sha256
+from documents left join judged using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of benchmark items cover, and those items."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,7 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": OP8_SQL,
+}
