@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, linedup, packing, quality, simhash
+from palimpsest.llm import decontaminate, langid, linedup, packing, quality, simhash, substrings
 from palimpsest.llm.common import crc_bucket, table
 
 
@@ -73,6 +73,12 @@ from documents left join judged using (doc_id) left join kept using (doc_id)
 """
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 200-byte strings cover which also start elsewhere."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of benchmark items cover, and those items."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
 
