@@ -40,6 +40,9 @@ def boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "sou
     """
     lines = _lines(docs, text_col, site_col).where(F.col("site").isNotNull() & (F.col("line") != F.xxhash64(F.lit(""))))
     often = lines.groupBy("line").count().where(F.col("count") >= sites).select("line")
+    often = cut_lineage(often)
+    if often.count() <= BROADCAST_LINES // 4:  # then the hottest line is not dealt to one task
+        often = F.broadcast(often)
     seen = cut_lineage(lines.join(often, "line", "left_semi"))
     spread = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH)).alias("about"))
     margin = max(1.0, 4 * 1.04 / (1 << SKETCH) ** 0.5 * sites)

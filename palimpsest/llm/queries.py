@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, langid, linedup, packing, quality, simhash, substrings
+from palimpsest.llm import ann, decontaminate, langid, linedup, packing, quality, simhash, substrings
 from palimpsest.llm.common import crc_bucket, table
 
 
@@ -34,6 +34,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every row of embeddings whose vec_id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), *public_tokenizer())
@@ -89,6 +94,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
