@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, decontaminate, langid, linedup, packing, quality, simhash, substrings
+from palimpsest.llm import ann, decontaminate, langid, linedup, packing, quality, secrets, simhash, substrings, urlfilter
 from palimpsest.llm.common import crc_bucket, table
 
 
@@ -18,6 +18,12 @@ def public_tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of documents with the forest's score; texts leave as digests."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    return found.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with crc32(doc_id) mod 4 = 2 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +51,47 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: A dated list to judge the pages by: pattern, category, action, date.
+URL_LIST = [
+    ("casino-win.example.net", "gambling", "add", "2024-01-10"), ("casino-win.example.net", "gambling", "remove", "2024-03-01"), ("casino-win.example.net", "gambling", "add", "2024-06-15"),
+    ("casino-win.example.com", "gambling", "add", "2024-02-01"), ("casino-win.example.org", "gambling", "add", "2024-02-01"),
+    ("free-bets.example.net", "gambling", "add", "2024-01-05"), ("free-bets.example.com", "gambling", "add", "2024-04-01"), ("free-bets.example.org", "gambling", "add", "2024-04-01"), ("free-bets.example.net", "gambling", "remove", "2024-09-01"),
+    ("adult-x.example.com", "adult", "add", "2023-12-01"), ("adult-x.example.com/en", "adult_en", "add", "2024-05-01"), ("adult-x.example.net", "adult", "add", "2024-05-01"), ("adult-x.example.org", "adult", "add", "2024-05-01"),
+    ("spam-farm.example.org", "spam", "add", "2024-02-20"), ("www.spam-farm.example.org", "spam_host", "add", "2024-07-01"), ("spam-farm.example.org", "spam", "remove", "2024-11-01"), ("spam-farm.example.com", "spam", "add", "2024-02-20"), ("spam-farm.example.net", "spam", "add", "2024-02-20"),
+    ("cheap-pills.example.net", "pharma", "add", "2024-03-03"), ("cheap-pills.example.com", "pharma", "add", "2024-03-03"), ("cheap-pills.example.org", "pharma", "add", "2024-03-03"),
+    ("ads-track.example.com", "tracking", "add", "2024-01-01"), ("ads-track.example.com", "tracking", "remove", "2024-02-01"), ("ads-track.example.com", "tracking", "add", "2024-02-01"), ("ads-track.example.com", "ads", "add", "2024-08-08"),
+    ("tionsh.example.net/de", "regional", "add", "2024-10-01"), ("tionsh.example.net/de", "regional", "remove", "2024-10-15"), ("EXAMPLE.ORG", "all_org", "add", "2024-12-20"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the entries of URL_LIST that were active on the day it was fetched.
+
+    The table has no fetch times: page n counts as fetched n mod 366 days after the first of January 2024.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(page_id % 366 as int))").alias("fetched_at"))
+    entries = spark.createDataFrame(URL_LIST, "pattern string, category string, action string, dated string")
+    return urlfilter.evaluate(pages, entries).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("fetched_at", "listed_since")})
+
+
+OP6_SQL = f"""
+with entries(pattern, category, action, dated) as (values {", ".join(repr(e) for e in URL_LIST)}),
+known as (
+    select lower(split_part(pattern, '/', 1)) as host, case when contains(pattern, '/') then '/' || split_part(pattern, '/', 2) else '' end as path, category, cast(dated as timestamp) as since, max(action) as action
+    from entries group by all),
+active as (
+    select host, path, category, since, until from (select *, lead(since) over (partition by host, path, category order by since) as until from known) where action = 'add'),
+captures as (
+    select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) as host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) as path, timestamp '2024-01-01' + to_days(cast(page_id % 366 as integer)) as fetched_at from pages)
+select page_id, c.host, fetched_at, count(a.host) > 0 as blocked, count(a.host) as n_entries,
+    coalesce(array_to_string(list_sort(list_distinct(list(a.category) filter (a.category is not null))), ','), '') as categories, min(since) as listed_since
+from captures c left join active a on (c.host = a.host or c.host like '%.' || a.host)
+    and (a.path = '' or c.path = a.path or c.path like a.path || '/%')
+    and fetched_at >= since and (until is null or fetched_at < until)
+group by page_id, c.host, fetched_at
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -92,10 +139,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op4_neighbours": op4_neighbours,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_substrings": op9_substrings,
@@ -103,5 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }
