@@ -4,7 +4,7 @@
 induction, names them, sorts the shorter string of names recursively, and induces the whole array from
 that. Over a small alphabet both inductions go bucket by bucket: everything that one bucket puts into
 others is placed in a few array operations, and only runs of one character take further rounds. The
-strings of names, over large alphabets, are sorted by a plain loop of the same algorithm.
+strings of names, over large alphabets, take a stretch of the array at a time instead.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 _SMALL_ALPHABET = 1024
+#: Strings shorter than this are sorted by a plain loop.
+_SHORT = 2_000
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -96,13 +98,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n, size = len(text), int(text.max()) + 1
     if n == 1:
         return np.zeros(1, np.int64)
-    if size > _SMALL_ALPHABET:
+    if n < _SHORT:
         return np.array(_plain(text.tolist(), size), np.int64)
+    induce = _induce if size <= _SMALL_ALPHABET else _induce_wide
     s_type = _types(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) == 1:
-        return _induce(text, s_type, lms, size)
-    array = _induce(text, s_type, lms, size)
+        return induce(text, s_type, lms, size)
+    array = induce(text, s_type, lms, size)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = array[is_lms[array]]
@@ -119,11 +122,69 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         order = ordered
     else:
         order = lms[suffix_array(names)]
-    return _induce(text, s_type, order, size)
+    return induce(text, s_type, order, size)
+
+
+def _induce_wide(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """``_induce`` for large alphabets: a stretch of the array at a time.
+
+    A stretch is cut before the first place that it would itself fill, so what it places lies beyond it.
+    """
+    n = len(text)
+    count = np.bincount(text, minlength=size)
+    end = np.cumsum(count)
+    start = end - count
+    l_type = ~s_type
+    array = np.full(n, -1, np.int64)
+    by_symbol = lms[np.argsort(text[lms], kind="stable")]
+    own = np.bincount(text[lms], minlength=size)
+    array[np.repeat(end - np.cumsum(own), own) + np.arange(len(lms))] = by_symbol
+
+    def sweep(at: np.ndarray, wanted: np.ndarray, sign: int) -> None:
+        done, stretch = 0, 256
+        while done < n:
+            width = min(stretch, n - done)
+            wave = array[done : done + width] if sign > 0 else array[n - done - width : n - done][::-1]
+            source = np.flatnonzero(wave > 0)
+            before = wave[source] - 1
+            mine = wanted[before]
+            source, before = source[mine], before[mine]
+            if len(before):
+                symbols = text[before]
+                order = np.argsort(symbols, kind="stable")
+                ordered = symbols[order]
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                sizes = np.diff(np.concatenate([first, [len(ordered)]]))
+                rank = np.arange(len(ordered)) - np.repeat(first, sizes)
+                place = at[ordered] + sign * rank
+                depth = place - done if sign > 0 else n - 1 - done - place
+                nearest = int(depth.min())
+                if nearest < width:
+                    width = nearest
+                    keep = source[order] < width
+                    order, ordered, place = order[keep], ordered[keep], place[keep]
+                    if len(ordered):
+                        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                        sizes = np.diff(np.concatenate([first, [len(ordered)]]))
+                    else:
+                        first = sizes = np.zeros(0, np.int64)
+                    stretch = max(64, width)
+                else:
+                    stretch = min(2 * stretch, 1 << 16)
+                array[place] = before[order]
+                at[ordered[first]] += sign * sizes
+            else:
+                stretch = min(2 * stretch, 1 << 16)
+            done += width
+
+    sweep(start.copy(), l_type, 1)
+    sweep(end - 1, s_type, -1)
+    array[0] = n - 1
+    return array
 
 
 def _plain(t: list[int], size: int) -> list[int]:
-    """The same algorithm as a loop, for large alphabets."""
+    """The same algorithm as a loop, for short strings."""
     n = len(t)
     s = [False] * n
     s[-1] = True
