@@ -94,7 +94,7 @@ def _blocks(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(h, n, text) to (key, seg, h, n, beg, size)."""
+    """(h, n, text) to (key, seg, h, n, begs, size): a row for each segment of a text, with all places it begins at."""
     for batch in batches:
         h, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         at, raw = binary_of(batch.column(2))
@@ -108,10 +108,12 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                 block = raw[a:b].tobytes()
                 seg = np.fromiter((xxhash.xxh64_intdigest(block[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, len(first))
                 text = np.searchsorted(at, first + a, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(h[text]), pa.array(n[text]), pa.array((first + a - at[text]).astype(np.int32)), pa.array((last - first + length).astype(np.int32))],
-                    names=["key", "seg", "h", "n", "beg", "size"],
-                )
+                order = np.lexsort((first, seg, key, text))
+                text, key, seg, first, size = text[order], key[order], seg[order], first[order], (last - first + length)[order]
+                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])]))
+                begs = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(first)]]).astype(np.int32)), pa.array((first + a - at[text]).astype(np.int32)))
+                text, key, seg, size = text[new], key[new], seg[new], size[new]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(h[text]), pa.array(n[text]), begs, pa.array(size.astype(np.int32))], names=["key", "seg", "h", "n", "begs", "size"])
 
 
 def repeated_in(segments: list[bytes], counts: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -142,6 +144,30 @@ def repeated_in(segments: list[bytes], counts: list[int], length: int = LENGTH)
     return out
 
 
+def worth_comparing(segments: list[tuple[bytes, int]], length: int = LENGTH) -> list[bool]:
+    """Which segments of one anchor may hold a string that another one of them holds, or occur twice.
+
+    A string that two segments share covers the anchor and (length - GRAM) / 2 bytes on one side of it at
+    least, so one of these two neighbourhoods is the same. The anchor is the least gram of its segment.
+    """
+    side = (length - GRAM) // 2
+    seen: dict[tuple[bool, bytes], int] = {}
+    around = []
+    grams = gram_hashes(np.frombuffer(b"".join(s for s, _ in segments), np.uint8)) & ~np.uint64((1 << 24) - 1)
+    at = 0
+    for data, _ in segments:
+        first, last = len(data) - length, length - GRAM  # the anchor lies in the first and in the last string
+        place = first + int(grams[at + first : at + last + 1].argmin())
+        at += len(data)
+        both = [(False, data[place - side : place + GRAM])] if place >= side else []
+        if place + GRAM + side <= len(data):
+            both.append((True, data[place : place + GRAM + side]))
+        around.append(both)
+        for b in both:
+            seen[b] = seen.get(b, 0) + 1
+    return [times > 1 or any(seen[b] > 1 for b in both) for (_, times), both in zip(segments, around, strict=True)]
+
+
 _FOUND = "key long, seg long, spans array<struct<beg:int,end:int>>"
 
 
@@ -158,15 +184,28 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             kind = pa.list_(pa.struct([("beg", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], names=["key", "seg", "spans"])
 
+    group: dict[tuple[int, int, int], tuple[bytes, int]] = {}
+
+    def settle() -> None:
+        nonlocal weight
+        plain = all(shift == 0 and len(data) < 2 * length for (_, _, shift), (data, _) in group.items())
+        keep = worth_comparing(list(group.values()), length) if plain else [True] * len(group)
+        for (name, row), wanted in zip(group.items(), keep, strict=True):
+            if wanted:
+                held[name] = row
+                weight += len(row[0])
+
     for batch in batches:
         for r, key, seg, shift, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r != route and weight >= SHARD:
-                yield from emit()
-                held, weight = {}, 0
+            if r != route:
+                settle()
+                group = {}
+                if weight >= SHARD:
+                    yield from emit()
+                    held, weight = {}, 0
             route = r
-            if (key, seg, shift) not in held:
-                held[key, seg, shift] = (data, times)
-                weight += len(data)
+            group.setdefault((key, seg, shift), (data, times))
+    settle()
     if held:
         yield from emit()
 
@@ -193,11 +232,11 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(h, n, spans): of each text with repeats its hash, its bytes, and the repeated spans, not yet merged."""
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("text")).where(F.col("n") >= length)
-    found = texts.mapInArrow(lambda b: _segments(b, length), "key long, seg long, h long, n int, beg int, size int")
-    anchors = found.groupBy("key").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
-    dup = cut_lineage(found.join(anchors, "key").groupBy("key", "seg", "h", "n", "beg", "size", "differ").agg(F.count("*").alias("times")))
+    found = texts.mapInArrow(lambda b: _segments(b, length), "key long, seg long, h long, n int, begs array<int>, size int")
+    anchors = found.groupBy("key").agg(F.sum(F.size("begs")).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
+    dup = cut_lineage(found.join(anchors, "key").groupBy("key", "seg", "h", "n", "begs", "size", "differ").agg(F.sum(F.size("begs")).alias("times")))
 
-    each = dup.where("differ").groupBy("key", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("h", "n", "beg", "size")).alias("at"))
+    each = dup.where("differ").groupBy("key", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("h", "n", F.get("begs", F.lit(0)).alias("beg"), "size")).alias("at"))
     crowded = each.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
     each = each.join(crowded, "key", "left").select("at.h", "at.n", F.struct("key", "seg", "at.beg", "at.size", "times", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = each.groupBy("h", "n").agg(F.collect_list("w").alias("wanted"))
@@ -205,9 +244,9 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LEN
     dealt = fetched.repartition("route").sortWithinPartitions("route")
     decided = dealt.mapInArrow(lambda b: _shards(b, length), _FOUND).groupBy("key", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
-    shifted = F.transform("spans", lambda s: F.struct((s["beg"] + F.col("beg")).alias("beg"), (s["end"] + F.col("beg")).alias("end")))
+    shifted = F.flatten(F.transform("begs", lambda beg: F.transform("spans", lambda s: F.struct((s["beg"] + beg).alias("beg"), (s["end"] + beg).alias("end")))))
     some = dup.where("differ").join(decided, ["key", "seg"]).select("h", "n", shifted.alias("spans"))
-    whole = dup.where("not differ").select("h", "n", F.array(F.struct("beg", (F.col("beg") + F.col("size")).alias("end"))).alias("spans"))
+    whole = dup.where("not differ").select("h", "n", F.transform("begs", lambda beg: F.struct(beg.alias("beg"), (beg + F.col("size")).alias("end"))).alias("spans"))
     return some.union(whole).groupBy("h", "n").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
