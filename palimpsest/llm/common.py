@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -21,10 +22,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where the
     session names none, as in tests. Use it for ids, hashes and counts, not for texts.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, set where the session has none yet."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written as Parquet into the shared folder and read again; deleted when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
 
 
 def crc_bucket(column: str, modulus: int) -> Column:
