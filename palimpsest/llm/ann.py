@@ -62,9 +62,12 @@ class Centroids:
         """Of each row the centroids within ``ratio`` of its nearest one, nearest first (at most ``most``).
 
         In a crowd the nearest centroid is next to nothing away, and a ratio of that would leave out whatever
-        lies around the crowd: no less than the usual distance of a vector to its centroid counts. A walk from the entry points expands the nearest unexpanded centroid until that lies beyond the ratio.
+        lies around the crowd: no less than the usual distance of a vector to its centroid counts. A walk from
+        the entry points expands the nearest unexpanded centroid until that lies beyond the ratio or, where
+        only ``most`` are wanted, beyond four times as many that it has in view.
         """
         out: list[np.ndarray] = []
+        beam = 4 * (most or 0)
         squares = np.einsum("ij,ij->i", self.points, self.points)
         for at in range(0, len(x), 256):
             block = x[at : at + 256]
@@ -82,7 +85,10 @@ class Centroids:
                 best = np.maximum(distance.min(axis=1), self.usual)
                 open_ = np.where(expanded, np.inf, distance)
                 nodes = open_.argmin(axis=1)
-                rows = np.flatnonzero(open_[np.arange(n), nodes] <= best * ratio + 1e-12)
+                bound = best * ratio + 1e-12
+                if most and beam < k:
+                    bound = np.minimum(bound, np.partition(distance, beam - 1, axis=1)[:, beam - 1])
+                rows = np.flatnonzero(open_[np.arange(n), nodes] <= bound)
                 if not len(rows):
                     break
                 width = min(4, k)
