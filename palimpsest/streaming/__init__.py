@@ -1 +1,50 @@
+"""Scrubbing streams of documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from palimpsest.operators.numbering import TokenMap
+from palimpsest.plans.engine import Scrubber, explode_findings
+from palimpsest.sources import write_tokens
+
+
+def clean_stream(scrubber: Scrubber, docs: DataFrame) -> DataFrame:
+    """Cleaned documents of a stream, without state; not for renderers that number entities."""
+    if scrubber.renderer.needs_index:
+        raise ValueError("numbers need state that lasts; use number_stream")
+    return scrubber.scrub_documents(docs).documents.drop("findings")
+
+
+def findings_per_window(scrubber: Scrubber, docs: DataFrame, time_col: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Findings by kind and window of an event time; documents later than ``late`` are not counted."""
+    found = scrubber.annotate(docs.withWatermark(time_col, late))
+    rows = found.select(time_col, F.explode("findings").alias("f"))
+    return rows.groupBy(F.window(time_col, window), F.col("f.pii_type").alias("pii_type")).count()
+
+
+def number_stream(scrubber: Scrubber, docs: DataFrame, out: str, tokens: str, checkpoint: str) -> StreamingQuery:
+    """Write cleaned documents with numbered entities, batch after batch.
+
+    Each batch reads the token map that the one before it wrote, and writes its own under its id, so a batch
+    that is run again starts from the same map and overwrites its own output. Numbers follow the order in
+    which batches arrive.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.parquet(f"{tokens}/{batch_id - 1}/counts") if batch_id else None
+        numbered = Scrubber(
+            scrubber.locale, [*scrubber.detectors], scrubber.registry, scrubber.min_score, scrubber.strategy, scrubber.priority, scrubber.renderer,
+            TokenMap(scrubber.tokens.group_key, counts=known), scrubber.limits, scrubber.on_detector_error,
+        )
+        result = numbered.scrub_documents(batch)
+        write_tokens(result.tokens, f"{tokens}/{batch_id}", mode="overwrite")
+        result.documents.drop("findings").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return docs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+__all__ = ["clean_stream", "explode_findings", "findings_per_window", "number_stream"]
