@@ -59,7 +59,7 @@ class Scrubber:
             raise ValueError(f"on_detector_error is warn, raise or ignore, not {on_detector_error!r}")
         self.locale, self.min_score, self.strategy, self.priority = locale, min_score, Strategy(strategy), dict(priority or {})
         self.registry = default_registry() if registry is None else registry
-        self.renderer, self.tokens, self.limits = renderer or Token(), tokens or TokenMap(), limits or Limits()
+        self.renderer, self.tokens, self.limits = Token() if renderer is None else renderer, TokenMap() if tokens is None else tokens, Limits() if limits is None else limits
         self.on_detector_error = on_detector_error
         self._running: dict[str, Detector] = {}
         names = None if detectors is None else [d for d in detectors if isinstance(d, str)]
