@@ -48,6 +48,8 @@ def boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "sou
     margin = max(1.0, 4 * 1.04 / (1 << SKETCH) ** 0.5 * sites)
     spread = cut_lineage(spread.where(F.col("about") >= sites - margin))
     near = spread.where(F.col("about") <= sites + margin).select("line")
+    if spread.count() <= BROADCAST_LINES // 4:
+        near = F.broadcast(near)
     exact = seen.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= sites)
     return spread.where(F.col("about") > sites + margin).select("line").union(exact.select("line"))
 
