@@ -95,12 +95,6 @@ class Scrubber:
     def resolve_column(self, findings: Column) -> Column:
         return resolve(findings, self.strategy, self.priority)
 
-    def clean_column(self, text: Column) -> Column:
-        """The cleaned text as one expression; not for renderers that number entities."""
-        if self.renderer.needs_index:
-            raise ValueError("numbers hold across documents; use scrub_documents")
-        return rebuild(text, replaceable(self.resolve_column(self.findings_column(text))), self.renderer.render)
-
     # tables
 
     def annotate(self, docs: DataFrame) -> DataFrame:
@@ -134,7 +128,7 @@ class Scrubber:
             self.check_limits(docs)
             self.limits.check_findings(docs.select(self.findings_column(F.col("text"), F.col("document")).alias("findings")))
         annotated = self.annotate(docs)
-        spans = annotated.withColumn("_spans", replaceable(F.col("findings")))
+        spans = _once(annotated.withColumn("_spans", replaceable(F.col("findings"))), "_spans")
         tokens = self.tokens
         if not self.renderer.needs_index and not (tokens.keep_originals and self.renderer.traceable) and not getattr(self.renderer, "include_hash", False):
             cleaned = spans.withColumn("text", rebuild(F.col("text"), F.col("_spans"), self.renderer.render))
@@ -163,6 +157,14 @@ class Scrubber:
         """(document, doc_ord, text) cleaned."""
         return self.scrub_documents(source, **columns).documents.drop("findings")
 
+    def clean_table(self, table: DataFrame, text_col: str = "text") -> DataFrame:
+        """A table of any shape with one column cleaned; not for renderers that number entities."""
+        if self.renderer.needs_index:
+            raise ValueError("numbers hold across documents; use scrub_documents")
+        found = _once(table.withColumn("_found", self.findings_column(F.col(text_col))), "_found")
+        spans = _once(found.withColumn("_spans", replaceable(self.resolve_column(F.col("_found")))).drop("_found"), "_spans")
+        return spans.withColumn(text_col, rebuild(F.col(text_col), F.col("_spans"), self.renderer.render)).select(*table.columns)
+
     # single texts, on the driver
 
     def find(self, text: str, document: str | None = None) -> list[Finding]:

@@ -19,8 +19,7 @@ from palimpsest.plans.engine import Scrubber, as_documents, explode_findings
 
 def clean_view(spark: SparkSession, table: str, view: str, scrubber: Scrubber | None = None, text_col: str = "text") -> None:
     """A temporary view of the table with its texts cleaned."""
-    cleaned = (scrubber or Scrubber()).clean_column(F.col(text_col))
-    spark.table(table).withColumn(text_col, cleaned).createOrReplaceTempView(view)
+    (scrubber or Scrubber()).clean_table(spark.table(table), text_col).createOrReplaceTempView(view)
 
 
 def findings_view(spark: SparkSession, table: str, view: str, scrubber: Scrubber | None = None, text_col: str = "text", id_col: str | None = None) -> None:
