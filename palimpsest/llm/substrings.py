@@ -211,7 +211,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(text, wanted) to the wanted segments' bytes; those of hot anchors are filed under a second one."""
+    """(text, wanted, doc_id) to the wanted segments' bytes; those of hot anchors are filed under a second one."""
     for batch in batches:
         out: list[tuple] = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -229,9 +229,13 @@ def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["route", "key", "seg", "shift", "times", "bytes"])
 
 
-def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(h, n, spans): of each text with repeats its hash, its bytes, and the repeated spans, not yet merged."""
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("text")).where(F.col("n") >= length)
+def repeated_spans(rows: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """Of rows (doc_id, text, h, n): (h, n, spans), the repeated spans of each text that has any, not yet merged.
+
+    Texts are dealt out by hash and size here just as ``remove_repeats`` does it, all columns included, so
+    that one exchange serves both.
+    """
+    texts = rows.select("h", "n", "text").where(F.col("n") >= length)
     found = texts.mapInArrow(lambda b: _segments(b, length), "key long, seg long, h long, n int, begs array<int>, size int")
     anchors = found.groupBy("key").agg(F.sum(F.size("begs")).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
     dup = cut_lineage(found.join(anchors, "key").groupBy("key", "seg", "h", "n", "begs", "size", "differ").agg(F.sum(F.size("begs")).alias("times")))
@@ -240,7 +244,7 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LEN
     crowded = each.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
     each = each.join(crowded, "key", "left").select("at.h", "at.n", F.struct("key", "seg", "at.beg", "at.size", "times", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = each.groupBy("h", "n").agg(F.collect_list("w").alias("wanted"))
-    fetched = texts.join(wanted, ["h", "n"]).select("text", "wanted").mapInArrow(lambda b: _fetched(b, length), "route long, key long, seg long, shift int, times long, bytes binary")
+    fetched = rows.join(wanted, ["h", "n"]).select("text", "wanted", "doc_id").mapInArrow(lambda b: _fetched(b, length), "route long, key long, seg long, shift int, times long, bytes binary")
     dealt = fetched.repartition("route").sortWithinPartitions("route")
     decided = dealt.mapInArrow(lambda b: _shards(b, length), _FOUND).groupBy("key", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -266,8 +270,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A text is its UTF-8 bytes, a null one empty; kept may end within a character. Matches never cross
     texts. Rows with equal texts are repeats of each other. Texts shorter than ``length`` lose nothing.
     """
-    spans = repeated_spans(docs, text_col=text_col, length=length, hot=hot)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
+    spans = repeated_spans(rows, length=length, hot=hot)
     joined = rows.join(spans, ["h", "n"], "left").select("doc_id", "text", "spans")
     schema = T.StructType([joined.schema["doc_id"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary").fields])
 
