@@ -138,6 +138,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP10_SQL = """
+with texts as (
+    select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from benchmark where item_id is not null and text is not null),
+words as (
+    select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+windows as (
+    select distinct id as item_id, least(10, len(w)) as n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as s
+    from words, lateral (select unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k) where kind = 'i' and len(w) > 0),
+places as (
+    select id as doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as s
+    from words, (select distinct n from windows) as sizes, lateral (select unnest(range(1, len(w) - n + 2)) as k) where kind = 'd'),
+hits as (
+    select doc_id, item_id, k, n from places join windows using (n, s)),
+covered as (
+    select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hits) group by doc_id),
+named as (
+    select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct doc_id, cast(item_id as varchar) as name from hits) group by doc_id)
+select words.id as doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered on words.id = covered.doc_id left join named on words.id = named.doc_id where kind = 'd'
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_language": op2_language,
@@ -154,4 +175,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op10_decontamination": OP10_SQL,
 }
