@@ -60,20 +60,36 @@ class TokenMap:
         return cls(key, bool(originals), spark.createDataFrame(counts, COUNTS), spark.createDataFrame(originals, ORIGINALS) if originals else None)
 
 
-def number(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _ranked(new: DataFrame, rows_per_task: int) -> DataFrame:
+    """(key, pii_type, rank), ranks from 0 by first mention within each kind.
+
+    A kind may have most of the entities: they are dealt out by range, ranked within each range, and moved
+    up by how many the ranges before hold. Only those counts, a few for each range, meet in one place.
+    """
+    from palimpsest.plans.lineage import cut_lineage
+
+    new = cut_lineage(new)
+    ranges = -(-new.count() // rows_per_task)
+    if ranges <= 1:
+        return new.select("key", "pii_type", (F.row_number().over(Window.partitionBy("pii_type").orderBy("first")) - 1).alias("rank"))
+    dealt = cut_lineage(new.repartitionByRange(ranges, "pii_type", "first").withColumn("range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("range", "pii_type").orderBy("first")) - 1
+    sizes = dealt.groupBy("range", "pii_type").count()
+    before = F.sum("count").over(Window.partitionBy("pii_type").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    moved = sizes.select("range", "pii_type", F.coalesce(before, F.lit(0)).alias("before"))
+    return dealt.withColumn("inside", inside).join(moved, ["range", "pii_type"]).select("key", "pii_type", (F.col("inside") + F.col("before")).alias("rank"))
+
+
+def number(mentions: DataFrame, known: DataFrame | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
     """All entities (key, pii_type, index) after mentions (key, pii_type, doc_ord, beg).
 
     An entity that several kinds claim (by a key of one's own) has the kind of its first mention.
     """
     first = mentions.groupBy("key").agg(F.min(F.struct("doc_ord", "beg", "pii_type")).alias("first"))
+    new = first if known is None else first.join(known.select("key"), "key", "left_anti")
+    ranked = _ranked(new.select("key", "first.pii_type", "first"), rows_per_task)
     if known is None:
-        new, offset = first, None
-    else:
-        new = first.join(known.select("key"), "key", "left_anti")
-        offset = known.groupBy(F.substring_index("key", ":", 1).alias("pii_type")).agg((F.max("index") + 1).alias("next"))
-    new = new.select("key", "first.pii_type", "first")
-    rank = F.row_number().over(Window.partitionBy("pii_type").orderBy("first")) - 1
-    if offset is None:
-        return new.select("key", "pii_type", rank.cast("long").alias("index"))
-    numbered = new.withColumn("_rank", rank).join(F.broadcast(offset), "pii_type", "left")  # a row for each kind
-    return known.select("key", "pii_type", F.col("index").cast("long")).union(numbered.select("key", "pii_type", (F.col("_rank") + F.coalesce("next", F.lit(0))).cast("long")))
+        return ranked.select("key", "pii_type", F.col("rank").cast("long").alias("index"))
+    offset = known.groupBy(F.substring_index("key", ":", 1).alias("pii_type")).agg((F.max("index") + 1).alias("next"))
+    numbered = ranked.join(F.broadcast(offset), "pii_type", "left")  # a row for each kind
+    return known.select("key", "pii_type", F.col("index").cast("long")).union(numbered.select("key", "pii_type", (F.col("rank") + F.coalesce("next", F.lit(0))).cast("long")))

@@ -9,16 +9,12 @@ from palimpsest.operators.numbering import TokenMap
 
 
 def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(document, doc_ord, text): a document for each file, named by its path, in the order of the names.
+    """(document, doc_ord, text): a document for each file, named and ordered by its path.
 
     Line ends become line feeds, as in Python's text mode.
     """
-    from pyspark.sql import Window
-
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("document"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
-    order = F.row_number().over(Window.orderBy("document")) - 1  # of names: a row for each file
-    names = files.select("document").distinct().select("document", order.cast("long").alias("doc_ord"))
-    return files.join(F.broadcast(names), "document").select("document", "doc_ord", "text")
+    path = F.input_file_name()
+    return spark.read.text(paths, wholetext=True).select(path.alias("document"), path.alias("doc_ord"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
 def write_cleaned(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:

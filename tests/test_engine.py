@@ -153,6 +153,20 @@ def test_numbers_hold_across_documents_and_runs(spark):
     assert one.clean("a@b.io c@d.io") == "{{EMAIL-0}} {{EMAIL-0}}"
 
 
+def test_numbers_do_not_depend_on_how_many_tasks_rank(spark):
+    from palimpsest.operators.numbering import number
+
+    rng = random.Random(5)
+    mentions = spark.createDataFrame([(f"{k}:{rng.randrange(300)}", k, rng.randrange(1000), rng.randrange(50)) for k in rng.choices(["email", "ip"], [9, 1], k=2000)], "key string, pii_type string, doc_ord long, beg int")
+    known = spark.createDataFrame([("email:7", "email", 4), ("ip:1", "ip", 0)], "key string, pii_type string, index long")
+    for before in (None, known):
+        one, many = ({r.key: r["index"] for r in number(mentions, before, rows_per_task=n).collect()} for n in (10**6, 40))
+        assert one == many and len(one) > 300
+        for kind in ("email", "ip"):
+            own = [i for k, i in one.items() if k.startswith(kind)]
+            assert len(own) == len(set(own))
+
+
 def test_keep_all_replaces_what_comes_first(spark):
     class Wide(PythonDetector):
         name, pii_type = "wide", "wide"
