@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -216,7 +217,7 @@ def find_python_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(Scrubber(detectors=[PythonBadge()]).find_documents(_fixture(spark, sf_dir, "badges")))
 
 
-@query(_BADGES.replace("select doc_id, cast(stop", "select doc_id, cast(stop", 1))
+@query(_BADGES)
 def find_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.sql import register_table_function
 
@@ -328,7 +329,7 @@ def resolve_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(_spans(spark, sf_dir)).groupBy("document").agg(F.countDistinct("cluster").alias("clusters"))
 
 
-@query(_greedy_sql('score desc, "end" - beg desc').replace("select document, s.beg", "select document, s.beg"))
+@query(_greedy_sql('score desc, "end" - beg desc'))
 def resolve_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column form, on arrays of findings."""
     from palimpsest.operators.resolve import resolve
@@ -492,6 +493,6 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents*").parquet(sf_dir)
     cleaned = clean_stream(Scrubber(detectors=["email"]), as_documents(docs.select("doc_id", "text"), id_col="doc_id"))
     home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    out = f"{home}/stream-{abs(hash((sf_dir, id(cleaned))))}"
+    out = f"{home}/stream-{uuid.uuid4()}"
     cleaned.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/data").select(F.col("doc_ord").alias("doc_id"), "text")
