@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one Arrow batch. Texts of the default of 10,000 would be copied several times over in a worker.
+BATCH_ROWS = 2_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to BATCH_ROWS: bounded memory for workers, which Spark reuses."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder that all executors share; the result survives lost executors.
 

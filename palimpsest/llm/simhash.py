@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage
+from palimpsest.llm.common import cut_lineage, text_batches
 
 RADIUS = 4
 SEED = 42
@@ -45,15 +45,15 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]
 
 
-def _majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
+def _majority(hashes: list[int] | np.ndarray, sizes: list[int]) -> np.ndarray:
     """A fingerprint for each of the runs of hashes."""
     out = np.zeros(len(sizes), np.uint64)
     count = np.array(sizes)
-    if not hashes:
+    if not len(hashes):
         return out
     full = np.flatnonzero(count)
     starts = (np.cumsum(count) - count)[full]
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.asarray(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     set_ = (2 * ones > count[full, None]).astype(np.uint8)
     out[full] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -61,12 +61,12 @@ def _majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """doc_id, text_hash, fingerprint (long) of each document; a text without words has fingerprint 0."""
+    """doc_id and fingerprint (long) of each document; a text without words has fingerprint 0."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, hashes, sizes = [], [], []
-            for text in batch.column(2):
+            for text in batch.column(1):
                 h = shingle_hashes(text.as_py(), words)
                 hashes += h
                 sizes.append(len(h))
@@ -74,16 +74,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     prints.append(_majority(hashes, sizes))
                     hashes, sizes = [], []
             prints.append(_majority(hashes, sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "text_hash", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "fingerprint"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(signed, "doc_id long, text_hash long, fingerprint long")
+    text_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(signed, "doc_id long, fingerprint long")
 
 
-def covering_masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
-    """Masks such that any ``radius`` bits lie outside at least one of them."""
-    vectors = 1 + np.random.default_rng(seed).permutation(np.arange(64) % ((1 << radius + 1) - 1))
-    return [sum(1 << bit for bit in range(64) if (int(vectors[bit]) & v).bit_count() & 1) for v in range(1, 1 << radius + 1)]
+def covering_masks(radius: int = RADIUS, seed: int = 7, bits: range = range(64)) -> list[int]:
+    """Masks of some bits such that any ``radius`` of them lie outside at least one mask."""
+    rng, all_ = np.random.default_rng(seed), (1 << radius + 1) - 1
+    vectors = 1 + np.concatenate([rng.permutation(all_) for _ in range(-(-len(bits) // all_))])[: len(bits)]
+    return [sum(1 << bit for bit, own in zip(bits, vectors.tolist(), strict=True) if (own & v).bit_count() & 1) for v in range(1, 1 << radius + 1)]
 
 
 def _signed(mask: int) -> int:
@@ -192,17 +194,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Of (doc_id, text_hash, fingerprint) rows: each fingerprint's component, as (fingerprint, component_id, winner).
+    """Of (doc_id, fingerprint) rows: the rows, computed once, and each fingerprint's component_id.
 
-    component_id is the smallest doc_id of the component, winner the smallest (doc_id, text_hash). The rows
-    come back checkpointed with it, since they are computed once and used twice.
+    component_id is the smallest doc_id of the component.
     """
     prints = cut_lineage(prints)
-    each = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("winner")))
+    each = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     stars = connected(links(each.select("fingerprint"), radius))
-    rooted = each.join(stars, each.fingerprint == stars.node, "left").select("fingerprint", "first", "winner", F.coalesce("root", "fingerprint").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("winner").alias("best"))
-    return prints, rooted.join(best, "root").select("fingerprint", "component_id", F.col("best").alias("winner"))
+    rooted = each.join(stars, each.fingerprint == stars.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, rooted.join(best, "root").select("fingerprint", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -215,14 +216,192 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(found, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each group of near-duplicates: that with the smallest id, in full."""
-    prints, found = components(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), radius)
-    rows = prints.join(found, "fingerprint")
-    wins: Column = F.struct("doc_id", "text_hash").eqNullSafe(F.col("winner"))
-    lost = cut_lineage(rows.where(~wins).select(F.col("doc_id").alias("_lost_id"), F.col("text_hash").alias("_lost_hash")).distinct())
+# Documents whose word shingles are similar, beyond what lies within a small radius
+
+
+#: Shingles of which one in this many is looked up in the whole corpus; all of texts with fewer than SHORT.
+SAMPLED, SHORT = 16, 128
+#: A text may have a partner only if at least this share of those shingles occurs in another text as well.
+LEAST_SHARED = 0.5
+#: Fingerprints of texts of similarity 0.8 differ in 5 of 32 bits on average. Each of the eight halves of four
+#: fingerprints gets masks for this many; that all eight differ in more happens to 3 in 10,000 such pairs.
+HALF_RADIUS = 5
+#: Bits of the longer fingerprint, of 256, in which candidates may differ at most.
+CANDIDATE_BITS = 60
+#: Candidate links that one task holds while it thins them out.
+CANDIDATES = 500_000
+
+
+def _basis(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text) to those, a hash of the words, the number of distinct shingles, and those to look up."""
+    for batch in batches:
+        keys, counts, looked = [], [], []
+        for text in batch.column(2).to_pylist():
+            h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+            normal = b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
+            keys.append(xxhash.xxh64_intdigest(normal, SEED))
+            counts.append(len(h))
+            looked.append((h if len(h) < 1.25 * SHORT else h[h % np.uint64(SAMPLED) == 0]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(looked, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "t", "n", "looked"])
+
+
+def _long_prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(t, text) to t, four fingerprints from one hash of each distinct shingle, and the shingles."""
+    for batch in batches:
+        sets = [np.unique(np.array(shingle_hashes(text, words), np.uint64)) for text in batch.column(1).to_pylist()]
+        prints = []
+        for k in range(4):
+            turn = np.uint64(2 * k + 1)
+            mixed = [(h * turn * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(7 * k + 3)) if k else h for h in sets]
+            done = []
+            for at in range(0, len(mixed), 500):
+                some = mixed[at : at + 500]
+                done.append(_majority(np.concatenate(some) if some else [], [len(h) for h in some]))
+            prints.append(pa.array(np.concatenate(done).view(np.int64) if done else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *prints, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["t", "f0", "f1", "f2", "f3", "shingles"])
+
+
+def _wide_masks() -> list[int]:
+    """Masks of either half of 64 bits; any HALF_RADIUS bits of a half lie outside one of its masks."""
+    return [m for half in (range(32), range(32, 64)) for m in covering_masks(HALF_RADIUS, seed=30, bits=half)]
+
+
+def _nearest_first(f: np.ndarray) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest of the candidates among rows of fingerprints: (row, row, bits), by Prim's algorithm."""
+    n = len(f)
+    best, parent, open_ = np.full(n, 1 << 16), np.zeros(n, np.int64), np.ones(n, bool)
+    out, at = [], 0
+    for _ in range(n):
+        open_[at] = False
+        bits = np.bitwise_count(f ^ f[at]).sum(axis=1, dtype=np.int64)
+        closer = open_ & (bits < best)
+        best[closer], parent[closer] = bits[closer], at
+        left = np.flatnonzero(open_)
+        if not len(left):
+            break
+        at = int(left[best[left].argmin()])
+        if best[at] <= CANDIDATE_BITS:
+            out.append((int(parent[at]), at, int(best[at])))
+    return out
+
+
+def _thinned(a: list[int], b: list[int], w: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The links that stay when of each circle the weakest goes."""
+    order = sorted(range(len(a)), key=w.__getitem__)
+    x, y = _spanning([a[i] for i in order], [b[i] for i in order])
+    weight = {(a[i], b[i]): w[i] for i in reversed(order)}
+    return x, y, [weight[e] for e in zip(x, y, strict=True)]
+
+
+def _links_of(rows: list[tuple[list[int], list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
+    a, b, w = _thinned(*(sum(c, []) for c in zip(*rows, strict=True))) if rows else ([], [], [])
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int32())], names=["a", "b", "w"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, t, f0..f3), sorted by key, to candidate links (a, b, w): a thinned forest of all buckets of the task."""
+    rows: list[tuple[list[int], list[int], list[int]]] = []
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
+    size = 0
+
+    def bucket(t: np.ndarray, f: np.ndarray, whole: bool = True) -> None:
+        nonlocal size
+        if len(t) > BUCKET and whole:  # split by the masks once more, now of all bits
+            for k, mask in ((k, m) for k in range(4) for m in _wide_masks()):
+                key = f[:, k] & np.uint64(mask)
+                order = np.argsort(key, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                    if len(part) > 1:
+                        bucket(t[part], f[part], whole=False)
+            return
+        found = _nearest_first(f)
+        if found:
+            i, j, w = zip(*found, strict=True)
+            low, high = np.minimum(t[list(i)], t[list(j)]), np.maximum(t[list(i)], t[list(j)])
+            rows.append((low.tolist(), high.tolist(), list(w)))
+            size += len(found)
+
+    def buckets(columns: list[np.ndarray]) -> None:
+        key, t = columns[0], columns[1]
+        f = np.stack(columns[2:], axis=1).view(np.uint64) if len(key) else None
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
+        sizes = np.diff(starts)
+        for at, n in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            bucket(t[at : at + n], f[at : at + n])
+
+    for batch in batches:
+        columns = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        if not len(columns[0]):
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        buckets([c[:last] for c in columns])
+        held = [c[last:] for c in columns]
+        if size > CANDIDATES:
+            rows = [_thinned(*(sum(c, []) for c in zip(*rows, strict=True)))]
+            size = len(rows[0][0])
+            if size > CANDIDATES // 2:
+                yield from _links_of(rows)
+                rows, size = [], 0
+    buckets(held)
+    yield from _links_of(rows)
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _links_of([tuple(c.to_pylist() for c in batch.columns) for batch in batches])
+
+
+def _pick(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """Join documents to a few rows (_id, _hash, ...) by id and text; broadcast only up to BROADCAST_ROWS."""
+    same = docs[id_col].cast("long").eqNullSafe(rows["_id"]) & (F.xxhash64(docs[text_col]) == rows["_hash"])
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
+
+
+def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of texts that connect whatever has a Jaccard similarity of ``similarity`` or more.
+
+    texts: (t, winner, n, looked), a row for each different text. 1. A text all but alone with its shingles
+    has no partner: shingles (a sample of those of longer texts) are counted over the corpus, and texts of
+    which less than half occur elsewhere are done with. 2. The others get four fingerprints. Covering masks
+    guarantee that a pair collides if any half of any of them differs in HALF_RADIUS bits or fewer. Buckets
+    give minimum spanning forests by the distance of all four.
+    3. The links of these are checked by the exact similarity.
+    """
+    basis = F.when(F.col("n") < SHORT, F.col("looked")).otherwise(F.filter("looked", lambda h: F.pmod(h, F.lit(SAMPLED)) == 0))
+    common = texts.select("t", F.explode("looked").alias("s")).groupBy("s").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("s")
+    shared = texts.select("t", F.explode(basis).alias("s")).join(common, "s", "left_semi").groupBy("t").count()
+    social = texts.select("t", "winner", F.size(basis).alias("of")).join(shared, "t").where(F.col("count") >= LEAST_SHARED * F.col("of"))
+    chosen = cut_lineage(social.select("t", F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _pick(narrow, chosen, "doc_id", "text", "inner").select("t", "text")
+    long_ = cut_lineage(rows.mapInArrow(lambda b: _long_prints(b, words), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>")).dropDuplicates(["t"])
+
+    keys = F.array(*(F.xxhash64(F.lit(1000 * k + i), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m)))) for k in range(4) for i, m in enumerate(_wide_masks())))
+    dealt = long_.select(F.explode(keys).alias("key"), "t", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key")
+    found = cut_lineage(dealt.mapInArrow(_compared, "a long, b long, w int"))
+    found = found.groupBy("a", "b").agg(F.min("w").alias("w"))
+    found = found.repartition(max(1, -(-found.count() // CANDIDATES))).mapInArrow(_thin, "a long, b long, w int")
+    one, other = (long_.select(F.col("t").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return found.join(one, "a").join(other, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, one of each group of near-duplicates: that with the smallest id (null ids first), in full.
+
+    Near-duplicates share ``similarity`` of their runs of ``words`` words (distinct ones, A-Z lower-cased) or are
+    connected by others that do. Texts with the same words are one text; those without any, null or not, as well.
+    """
+    text_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    prints = cut_lineage(source.mapInArrow(lambda b: _basis(b, words), "doc_id long, text_hash long, t long, n int, looked array<long>"))
+    texts = cut_lineage(prints.groupBy("t").agg(F.min(F.struct("doc_id", "text_hash")).alias("winner"), F.first("n").alias("n"), F.first("looked").alias("looked")))
+    stars = connected(similar_links(docs, texts, id_col=id_col, text_col=text_col, words=words, similarity=similarity))
+    rooted = texts.join(stars, texts.t == stars.node, "left").select("t", "winner", F.coalesce("root", "t").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("winner").alias("best"))
+    rows = prints.select("doc_id", "text_hash", "t").join(rooted.join(best, "root").select("t", "best"), "t")
+    wins: Column = F.struct("doc_id", "text_hash").eqNullSafe(F.col("best"))
+    lost = cut_lineage(rows.where(~wins).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     twice = rows.where(wins).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    if lost.count() <= BROADCAST_ROWS:
-        lost = F.broadcast(lost)
-    kept = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost_id")) & (F.xxhash64(text_col) == F.col("_lost_hash")), "left_anti")
+    kept = _pick(docs, lost, id_col, text_col, "left_anti")
     return kept.dropDuplicates([id_col, text_col]) if twice else kept
