@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import text_batches
+
 WINDOW = 10
 #: Words of test items in one broadcast automaton: some 100 MB in a worker at most.
 AUTOMATON_WORDS = 300_000
@@ -167,6 +169,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     benchmark matches nothing; other columns of either table are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("hits"), F.array().cast("array<long>").alias("item_ids"))
     schema = out.schema
     for one in automata(items, window=window, most_words=most_words):
@@ -218,6 +221,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     All columns are kept as they are but the text. Null and empty texts stay.
     """
     spark, place = docs.sparkSession, docs.columns.index(text_col)
+    text_batches(spark)
     schema = T.StructType(docs.schema.fields)
     for one in automata(items, window=window, most_words=most_words):
         shared = spark.sparkContext.broadcast(one)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_of, fraction_of
+from palimpsest.llm.common import binary_of, fraction_of, text_batches
 
 #: Documents of each language that a fit uses at most (about; drawn by a hash), and their greatest length.
 SAMPLE = 1_000
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     Rows with null language, null text or no letter take no part. Of each language about ``sample`` rows
     are drawn; their n-gram shares come to the driver, never texts.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.length("text") <= SAMPLE_CHARS))
     counts = {r["lang"]: r["count"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if not counts:
@@ -185,6 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc
 
     Every byte of a text counts. Repeated rows come back as often as they occur; other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

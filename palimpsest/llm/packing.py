@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import text_batches
+
 WINDOW = 2048
 END_ID = 1
 #: Tokens that a task holds at once.
@@ -202,4 +204,5 @@ def pack(
         if ids:
             yield from flush()
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, SCHEMA)

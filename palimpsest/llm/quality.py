@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import trees
-from palimpsest.llm.common import crc_bucket, fraction_of
+from palimpsest.llm.common import crc_bucket, fraction_of, text_batches
 
 #: Labelled documents that a fit uses at most (about; they are drawn by a hash).
 SAMPLE = 10_000
@@ -50,6 +50,7 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with one column more for each statistic."""
+    text_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     schema = T.StructType(docs.schema.fields + [T.StructField(_PREFIX + s, T.DoubleType()) for s in STATISTICS])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import binary_of, cut_lineage
+from palimpsest.llm.common import binary_of, cut_lineage, text_batches
 from palimpsest.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -270,6 +270,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A text is its UTF-8 bytes, a null one empty; kept may end within a character. Matches never cross
     texts. Rows with equal texts are repeats of each other. Texts shorter than ``length`` lose nothing.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
     spans = repeated_spans(rows, length=length, hot=hot)
     joined = rows.join(spans, ["h", "n"], "left").select("doc_id", "text", "spans")
