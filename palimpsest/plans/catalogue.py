@@ -45,8 +45,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(docs: DataFrame) -> DataFrame:
-    """A file with one row group is one task; deal the documents out before the patterns run."""
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    """Deal documents out before the patterns run, but only where the input has fewer splits than there are cores:
+    a small file with one row group is one task. Inputs of many splits are not shuffled."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
