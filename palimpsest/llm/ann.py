@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage, fraction_of
+from palimpsest.llm.common import cut_lineage, fraction_of, tidied
 
 #: Vectors that the centroids are fitted on, at most about; drawn by a hash.
 SAMPLE = 20_000
@@ -183,8 +183,8 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(which)), data], names=["list", "vec_id", "v"])
 
     schema = "list int, vec_id long, v binary"
-    postings = rows.select("vec_id", "v").mapInArrow(lambda b: filed(b, False), schema)
-    asked = rows.where("_query").select("vec_id", "v").mapInArrow(lambda b: filed(b, True), schema)
+    postings = rows.select("vec_id", "v").mapInArrow(tidied(lambda b: filed(b, False)), schema)
+    asked = rows.where("_query").select("vec_id", "v").mapInArrow(tidied(lambda b: filed(b, True)), schema)
     parts = cut_lineage(postings.groupBy("list").agg(F.ceil(F.count("*") / list_cap).cast("int").alias("parts")))
     cut = F.broadcast(parts)  # a row for each centroid: MOST_LISTS at most
     dealt = postings.join(cut, "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
@@ -247,9 +247,7 @@ def search(
                         best, held = [], 0
         yield from flush()
 
-    found = together.mapInArrow(compared, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
-
+    found = together.mapInArrow(tidied(compared), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", place.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

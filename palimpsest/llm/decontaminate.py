@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import text_batches
+from palimpsest.llm.common import text_batches, tidied
 
 WINDOW = 10
 #: Words of test items in one broadcast automaton: some 100 MB in a worker at most.
@@ -190,7 +190,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
                     ids.append(sorted(matched.union(known)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hits", "item_ids"])
 
-        out = out.mapInArrow(scanned, schema)
+        out = out.mapInArrow(tidied(scanned), schema)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h[1] - h[0])
     return out.select("doc_id", "n_words", covered.alias("n_hit"), "hits", "item_ids")
 
@@ -237,5 +237,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(cleaned, schema)
+        docs = docs.mapInArrow(tidied(cleaned), schema)
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import binary_of, fraction_of, text_batches
+from palimpsest.llm.common import binary_of, fraction_of, text_batches, tidied
 
 #: Documents of each language that a fit uses at most (about; drawn by a hash), and their greatest length.
 SAMPLE = 1_000
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", samp
     if not counts:
         return None
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n)))), F.col("lang"))
-    drawn = rows.where(fraction_of([F.col("text"), F.col("lang")]) < share).mapInArrow(_vectors, "lang string, codes array<int>, shares array<float>").toArrow()
+    drawn = rows.where(fraction_of([F.col("text"), F.col("lang")]) < share).mapInArrow(tidied(_vectors), "lang string, codes array<int>, shares array<float>").toArrow()
     if not drawn.num_rows:
         return None
     langs = drawn.column(0).to_pylist()
@@ -198,5 +198,5 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc
             names, score = shared.value.predict(*binary_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "letters", "lang_pred", "score"])
 
-    found = rows.mapInArrow(named, f"doc_id {id_type}, letters boolean, lang_pred string, score double")
+    found = rows.mapInArrow(tidied(named), f"doc_id {id_type}, letters boolean, lang_pred string, score double")
     return found.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import cut_lineage, text_batches
+from palimpsest.llm.common import cut_lineage, text_batches, tidied
 
 SITES = 10
 #: log2 of a sketch's registers; its relative standard error is 1.04 / sqrt(4096) = 1.6 %.
@@ -83,7 +83,7 @@ def remove_lines(docs: DataFrame, bad: DataFrame, *, text_col: str = "text", rem
                 columns[place] = pa.array([t for t, _ in done], columns[place].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=schema.names)
 
-        return docs.mapInArrow(cut, schema)
+        return docs.mapInArrow(tidied(cut), schema)
 
     parts = F.split(F.col(text_col), "\n", -1)
     key: list[Column] = [F.xxhash64(text_col).alias("_text"), F.length(text_col).alias("_size")]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import text_batches
+from palimpsest.llm.common import text_batches, tidied
 
 WINDOW = 2048
 END_ID = 1
@@ -205,4 +205,4 @@ def pack(
             yield from flush()
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(packed), SCHEMA)

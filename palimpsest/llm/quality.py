@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import trees
-from palimpsest.llm.common import crc_bucket, fraction_of, text_batches
+from palimpsest.llm.common import crc_bucket, fraction_of, text_batches, tidied
 
 #: Labelled documents that a fit uses at most (about; they are drawn by a hash).
 SAMPLE = 10_000
@@ -59,7 +59,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             rows = np.array([statistics(t) for t in batch.column(place).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=schema.names)
 
-    return docs.mapInArrow(measured, schema)
+    return docs.mapInArrow(tidied(measured), schema)
 
 
 @dataclass
