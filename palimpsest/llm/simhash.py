@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage, text_batches
+from palimpsest.llm.common import cut_lineage, text_batches, tidied
 
 RADIUS = 4
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(signed, "doc_id long, fingerprint long")
+    return source.mapInArrow(tidied(signed), "doc_id long, fingerprint long")
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 7, bits: range = range(64)) -> list[int]:
@@ -167,7 +167,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
-    edges = dealt.mapInArrow(linked, "a long, b long")
+    edges = dealt.mapInArrow(tidied(linked), "a long, b long")
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -287,7 +287,7 @@ def _nearest_first(f: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _thinned(a: list[int], b: list[int], w: list[int]) -> tuple[list[int], list[int], list[int]]:
     """The links that stay when of each circle the weakest goes."""
-    order = sorted(range(len(a)), key=w.__getitem__)
+    order = sorted(range(len(a)), key=lambda i: (w[i], a[i], b[i]))
     x, y = _spanning([a[i] for i in order], [b[i] for i in order])
     weight = {(a[i], b[i]): w[i] for i in reversed(order)}
     return x, y, [weight[e] for e in zip(x, y, strict=True)]
@@ -370,20 +370,35 @@ def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: s
     basis = F.when(F.col("n") < SHORT, F.col("looked")).otherwise(F.filter("looked", lambda h: F.pmod(h, F.lit(SAMPLED)) == 0))
     common = texts.select("t", F.explode("looked").alias("s")).groupBy("s").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("s")
     shared = texts.select("t", F.explode(basis).alias("s")).join(common, "s", "left_semi").groupBy("t").count()
-    social = texts.select("t", "winner", F.size(basis).alias("of")).join(shared, "t").where(F.col("count") >= LEAST_SHARED * F.col("of"))
+    counted = texts.select("t", "winner", F.size(basis).alias("of")).join(shared, "t", "left")
+    social = counted.where(F.coalesce("count", F.lit(0)) >= LEAST_SHARED * F.col("of"))  # also the few without any to look up
     chosen = cut_lineage(social.select("t", F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = _pick(narrow, chosen, "doc_id", "text", "inner").select("t", "text")
-    long_ = cut_lineage(rows.mapInArrow(lambda b: _long_prints(b, words), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>")).dropDuplicates(["t"])
+    long_ = cut_lineage(rows.mapInArrow(tidied(lambda b: _long_prints(b, words)), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>")).dropDuplicates(["t"])
 
     keys = F.array(*(F.xxhash64(F.lit(1000 * k + i), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m)))) for k in range(4) for i, m in enumerate(_wide_masks())))
-    dealt = long_.select(F.explode(keys).alias("key"), "t", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key")
-    found = cut_lineage(dealt.mapInArrow(_compared, "a long, b long, w int"))
-    found = found.groupBy("a", "b").agg(F.min("w").alias("w"))
-    found = found.repartition(max(1, -(-found.count() // CANDIDATES))).mapInArrow(_thin, "a long, b long, w int")
-    one, other = (long_.select(F.col("t").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return found.join(one, "a").join(other, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    dealt = long_.select(F.explode(keys).alias("key"), "t", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "t")
+    found = dealt.mapInArrow(tidied(_compared), "a long, b long, w int").groupBy("a", "b").agg(F.min("w").alias("w"))
+    found = cut_lineage(found)
+
+    def thinned(candidates: DataFrame) -> DataFrame:
+        parts = max(1, -(-candidates.count() // CANDIDATES))
+        return cut_lineage(candidates.repartition(parts, "a", "b").mapInArrow(tidied(_thin), "a long, b long, w int"))
+
+    def similar(candidates: DataFrame) -> DataFrame:
+        one, other = (long_.select(F.col("t").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        joined = candidates.join(one, "a").join(other, "b")
+        return cut_lineage(joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+
+    forest = thinned(found)
+    linked = similar(forest)
+    # Where a link of the forest was none, others between what it would have joined get their turn.
+    of = connected(linked)
+    root = lambda c: of.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    apart = found.join(forest.select("a", "b"), ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    return linked.union(similar(thinned(cut_lineage(apart.select("a", "b", "w")))))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -394,7 +409,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    prints = cut_lineage(source.mapInArrow(lambda b: _basis(b, words), "doc_id long, text_hash long, t long, n int, looked array<long>"))
+    prints = cut_lineage(source.mapInArrow(tidied(lambda b: _basis(b, words)), "doc_id long, text_hash long, t long, n int, looked array<long>"))
     texts = cut_lineage(prints.groupBy("t").agg(F.min(F.struct("doc_id", "text_hash")).alias("winner"), F.first("n").alias("n"), F.first("looked").alias("looked")))
     stars = connected(similar_links(docs, texts, id_col=id_col, text_col=text_col, words=words, similarity=similarity))
     rooted = texts.join(stars, texts.t == stars.node, "left").select("t", "winner", F.coalesce("root", "t").alias("root"))
