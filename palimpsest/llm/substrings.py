@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import binary_of, cut_lineage, text_batches
+from palimpsest.llm.common import binary_of, cut_lineage, text_batches, tidied
 from palimpsest.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -144,11 +144,12 @@ def repeated_in(segments: list[bytes], counts: list[int], length: int = LENGTH)
     return out
 
 
-def worth_comparing(segments: list[tuple[bytes, int]], length: int = LENGTH) -> list[bool]:
-    """Which segments of one anchor may hold a string that another one of them holds, or occur twice.
+def worth_comparing(segments: list[tuple[bytes, int]], length: int = LENGTH) -> list[tuple[int, int] | None]:
+    """Of each segment of one anchor the part that may hold a string that another one holds; None if there is none.
 
     A string that two segments share covers the anchor and (length - GRAM) / 2 bytes on one side of it at
-    least, so one of these two neighbourhoods is the same. The anchor is the least gram of its segment.
+    least, so one of these two neighbourhoods is the same, and the string lies on that side. A segment that
+    occurs twice is kept whole. The anchor is the least gram of its segment.
     """
     side = (length - GRAM) // 2
     seen: dict[tuple[bool, bytes], int] = {}
@@ -159,13 +160,22 @@ def worth_comparing(segments: list[tuple[bytes, int]], length: int = LENGTH) ->
         first, last = len(data) - length, length - GRAM  # the anchor lies in the first and in the last string
         place = first + int(grams[at + first : at + last + 1].argmin())
         at += len(data)
-        both = [(False, data[place - side : place + GRAM])] if place >= side else []
-        if place + GRAM + side <= len(data):
-            both.append((True, data[place : place + GRAM + side]))
-        around.append(both)
-        for b in both:
-            seen[b] = seen.get(b, 0) + 1
-    return [times > 1 or any(seen[b] > 1 for b in both) for (_, times), both in zip(segments, around, strict=True)]
+        left = (False, data[place - side : place + GRAM]) if place >= side else None
+        right = (True, data[place : place + GRAM + side]) if place + GRAM + side <= len(data) else None
+        around.append((place, left, right))
+        for b in (left, right):
+            if b:
+                seen[b] = seen.get(b, 0) + 1
+    out: list[tuple[int, int] | None] = []
+    for (data, times), (place, left, right) in zip(segments, around, strict=True):
+        on_left, on_right = bool(left) and seen[left] > 1, bool(right) and seen[right] > 1
+        if times > 1 or (on_left and on_right):
+            out.append((0, len(data)))
+        elif on_left:
+            out.append((0, place - side + length))
+        else:
+            out.append((max(0, place - side), len(data)) if on_right else None)
+    return out
 
 
 _FOUND = "key long, seg long, spans array<struct<beg:int,end:int>>"
@@ -189,11 +199,11 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     def settle() -> None:
         nonlocal weight
         plain = all(shift == 0 and len(data) < 2 * length for (_, _, shift), (data, _) in group.items())
-        keep = worth_comparing(list(group.values()), length) if plain else [True] * len(group)
-        for (name, row), wanted in zip(group.items(), keep, strict=True):
-            if wanted:
-                held[name] = row
-                weight += len(row[0])
+        keep = worth_comparing(list(group.values()), length) if plain else [(0, len(data)) for data, _ in group.values()]
+        for ((key, seg, shift), (data, times)), part in zip(group.items(), keep, strict=True):
+            if part:
+                held[key, seg, shift + part[0]] = (data[part[0] : part[1]], times)
+                weight += part[1] - part[0]
 
     for batch in batches:
         for r, key, seg, shift, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -236,7 +246,7 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, hot: int = HOT) ->
     that one exchange serves both.
     """
     texts = rows.select("h", "n", "text").where(F.col("n") >= length)
-    found = texts.mapInArrow(lambda b: _segments(b, length), "key long, seg long, h long, n int, begs array<int>, size int")
+    found = texts.mapInArrow(tidied(lambda b: _segments(b, length)), "key long, seg long, h long, n int, begs array<int>, size int")
     anchors = found.groupBy("key").agg(F.sum(F.size("begs")).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
     dup = cut_lineage(found.join(anchors, "key").groupBy("key", "seg", "h", "n", "begs", "size", "differ").agg(F.sum(F.size("begs")).alias("times")))
 
@@ -244,9 +254,9 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, hot: int = HOT) ->
     crowded = each.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
     each = each.join(crowded, "key", "left").select("at.h", "at.n", F.struct("key", "seg", "at.beg", "at.size", "times", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = each.groupBy("h", "n").agg(F.collect_list("w").alias("wanted"))
-    fetched = rows.join(wanted, ["h", "n"]).select("text", "wanted", "doc_id").mapInArrow(lambda b: _fetched(b, length), "route long, key long, seg long, shift int, times long, bytes binary")
+    fetched = rows.join(wanted, ["h", "n"]).select("text", "wanted", "doc_id").mapInArrow(tidied(lambda b: _fetched(b, length)), "route long, key long, seg long, shift int, times long, bytes binary")
     dealt = fetched.repartition("route").sortWithinPartitions("route")
-    decided = dealt.mapInArrow(lambda b: _shards(b, length), _FOUND).groupBy("key", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    decided = dealt.mapInArrow(tidied(lambda b: _shards(b, length)), _FOUND).groupBy("key", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     shifted = F.flatten(F.transform("begs", lambda beg: F.transform("spans", lambda s: F.struct((s["beg"] + beg).alias("beg"), (s["end"] + beg).alias("end")))))
     some = dup.where("differ").join(decided, ["key", "seg"]).select("h", "n", shifted.alias("spans"))
@@ -290,4 +300,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidied(cut), schema)
