@@ -219,10 +219,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 # Documents whose word shingles are similar, beyond what lies within a small radius
 
 
-#: Shingles of which one in this many is looked up in the whole corpus; all of texts with fewer than SHORT.
-SAMPLED, SHORT = 16, 128
-#: A text may have a partner only if at least this share of those shingles occurs in another text as well.
-LEAST_SHARED = 0.5
 #: Fingerprints of texts of similarity 0.8 differ in 5 of 32 bits on average. Each of the eight halves of four
 #: fingerprints gets masks for this many; that all eight differ in more happens to 3 in 10,000 such pairs.
 HALF_RADIUS = 5
@@ -232,17 +228,50 @@ CANDIDATE_BITS = 60
 CANDIDATES = 500_000
 
 
+def _looked_up(n: int, similarity: float) -> int:
+    """How many of a text's n shingles, the smallest ones, are looked up in the corpus.
+
+    A partner lacks (1 - similarity) * n of them at most. With as many again, texts of n and m shingles share at least
+    (1 - similarity) * min(n, m) of those looked up for both, and m is similarity * n or more.
+    """
+    return min(n, n - int(np.floor(similarity * n - 1e-9)) + int(np.ceil((1 - similarity) * n)))
+
+
+def _looked(n: Column, similarity: float) -> Column:
+    """The same of a column."""
+    return F.least(n.cast("long"), n - F.floor(similarity * n - 1e-9) + F.ceil((1 - similarity) * n))
+
+
+def _least_shared(n: Column, similarity: float) -> Column:
+    """How many of the shingles looked up a text shares with any partner, at least."""
+    return F.ceil((1 - similarity) * similarity * n - 1e-9)
+
+
+def _normal(text: str | None) -> int:
+    """A hash of the words."""
+    return xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b"", SEED)
+
+
 def _basis(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) to those, a hash of the words, the number of distinct shingles, and those to look up."""
+    """(doc_id, text_hash, text) to those, a hash of the words, and the number of distinct shingles."""
     for batch in batches:
-        keys, counts, looked = [], [], []
-        for text in batch.column(2).to_pylist():
-            h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
-            normal = b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
-            keys.append(xxhash.xxh64_intdigest(normal, SEED))
-            counts.append(len(h))
-            looked.append((h if len(h) < 1.25 * SHORT else h[h % np.uint64(SAMPLED) == 0]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(looked, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "t", "n", "looked"])
+        texts = batch.column(2).to_pylist()
+        keys, counts = [_normal(text) for text in texts], [len(set(shingle_hashes(text, words))) for text in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(counts, pa.int32())], names=["doc_id", "text_hash", "t", "n"])
+
+
+def _smallest(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(text) to (t, s): the hash of its words with each of the shingles to look up."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for at in range(0, len(texts), 500):
+            keys, looked = [], [np.zeros(0, np.uint64)]
+            for text in texts[at : at + 500]:
+                h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
+                looked.append(h[: _looked_up(len(h), similarity)])
+                keys.append(_normal(text))
+            t = np.repeat(np.array(keys, np.uint64), [len(h) for h in looked[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.concatenate(looked).view(np.int64))], names=["t", "s"])
 
 
 def _long_prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -360,20 +389,20 @@ def _pick(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str
 def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of texts that connect whatever has a Jaccard similarity of ``similarity`` or more.
 
-    texts: (t, winner, n, looked), a row for each different text. 1. A text all but alone with its shingles
-    has no partner: shingles (a sample of those of longer texts) are counted over the corpus, and texts of
-    which less than half occur elsewhere are done with. 2. The others get four fingerprints. Covering masks
+    texts: (t, winner, n), a row for each different text. 1. A text all but alone with its shingles
+    has no partner: its smallest shingles are looked up among those of the corpus, and texts of which fewer
+    occur elsewhere than a partner would share are done with. 2. The others get four fingerprints. Covering masks
     guarantee that a pair collides if any half of any of them differs in HALF_RADIUS bits or fewer. Buckets
     give minimum spanning forests by the distance of all four.
     3. The links of these are checked by the exact similarity.
     """
-    basis = F.when(F.col("n") < SHORT, F.col("looked")).otherwise(F.filter("looked", lambda h: F.pmod(h, F.lit(SAMPLED)) == 0))
-    common = texts.select("t", F.explode("looked").alias("s")).groupBy("s").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("s")
-    shared = texts.select("t", F.explode(basis).alias("s")).join(common, "s", "left_semi").groupBy("t").count()
-    counted = texts.select("t", "winner", F.size(basis).alias("of")).join(shared, "t", "left")
-    social = counted.where(F.coalesce("count", F.lit(0)) >= LEAST_SHARED * F.col("of"))  # also the few without any to look up
-    chosen = cut_lineage(social.select("t", F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    looked = narrow.select("text").mapInArrow(tidied(lambda b: _smallest(b, words, similarity)), "t long, s long")
+    alone = looked.groupBy("s").agg(F.min("t").alias("t"), F.max("t").alias("other")).where("t = other").groupBy("t").count()
+    counted = texts.select("t", "winner", "n").join(alone, "t", "left")
+    most_alone = _looked(F.col("n"), similarity) - _least_shared(F.col("n"), similarity)
+    social = counted.where(F.coalesce("count", F.lit(0)) <= most_alone)
+    chosen = cut_lineage(social.select("t", F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
     rows = _pick(narrow, chosen, "doc_id", "text", "inner").select("t", "text")
     long_ = cut_lineage(rows.mapInArrow(tidied(lambda b: _long_prints(b, words)), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>")).dropDuplicates(["t"])
 
@@ -409,8 +438,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    prints = cut_lineage(source.mapInArrow(tidied(lambda b: _basis(b, words)), "doc_id long, text_hash long, t long, n int, looked array<long>"))
-    texts = cut_lineage(prints.groupBy("t").agg(F.min(F.struct("doc_id", "text_hash")).alias("winner"), F.first("n").alias("n"), F.first("looked").alias("looked")))
+    prints = cut_lineage(source.mapInArrow(tidied(lambda b: _basis(b, words)), "doc_id long, text_hash long, t long, n int"))
+    texts = cut_lineage(prints.groupBy("t").agg(F.min(F.struct("doc_id", "text_hash")).alias("winner"), F.first("n").alias("n")))
     stars = connected(similar_links(docs, texts, id_col=id_col, text_col=text_col, words=words, similarity=similarity))
     rooted = texts.join(stars, texts.t == stars.node, "left").select("t", "winner", F.coalesce("root", "t").alias("root"))
     best = rooted.groupBy("root").agg(F.min("winner").alias("best"))
