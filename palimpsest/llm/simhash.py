@@ -224,6 +224,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 HALF_RADIUS = 5
 #: Bits of the longer fingerprint, of 256, in which candidates may differ at most.
 CANDIDATE_BITS = 60
+#: Candidates that each text of a bucket gives in the first round after that of the forests; eight times as many in the next.
+MOST_FIRST = 16
 #: Candidate links that one task holds while it thins them out.
 CANDIDATES = 500_000
 
@@ -380,6 +382,58 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _links_of([tuple(c.to_pylist() for c in batch.columns) for batch in batches])
 
 
+def _crossing(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(key, t, root, n, f0..f3), sorted by key, to candidates (a, b) of different roots; nulls where there are more.
+
+    In each bucket each row outside the most frequent root gives its ``most`` nearest ones, whatever else is in the task.
+    Sizes that rule the similarity out are left out.
+    """
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 8
+
+    def bucket(t: np.ndarray, root: np.ndarray, n: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        names, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return t[:0], t[:0], False
+        asks, left, right, more = np.flatnonzero(which != sizes.argmax()), [], [], False
+        for at in range(0, len(asks), 256):
+            i = asks[at : at + 256]
+            bits = np.bitwise_count(f[i, None] ^ f[None]).sum(axis=2, dtype=np.int64)
+            ok = (bits <= CANDIDATE_BITS) & (which[i, None] != which[None]) & (np.minimum(n[i, None], n[None]) >= similarity * np.maximum(n[i, None], n[None]) - 1e-9)
+            if ok.sum(axis=1).max() > most:
+                more = True
+                place = np.where(ok, bits * len(t) + np.arange(len(t)), 1 << 60)
+                ok &= place <= np.partition(place, most - 1, axis=1)[:, most - 1 : most]
+            x, y = np.nonzero(ok)
+            left.append(t[i[x]])
+            right.append(t[y])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return np.minimum(a, b), np.maximum(a, b), more
+
+    def buckets(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key = columns[0]
+        if len(key) < 2:
+            return
+        f = np.stack(columns[4:], axis=1).view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        sizes = np.diff(starts)
+        for at, size in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            a, b, more = bucket(*(c[at : at + size] for c in columns[1:4]), f[at : at + size])
+            if len(a):
+                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+
+    for batch in batches:
+        columns = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        if not len(columns[0]):
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        yield from buckets([c[:last] for c in columns])
+        held = [c[last:] for c in columns]
+    yield from buckets(held)
+
+
 def _pick(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """Join documents to a few rows (_id, _hash, ...) by id and text; broadcast only up to BROADCAST_ROWS."""
     same = docs[id_col].cast("long").eqNullSafe(rows["_id"]) & (F.xxhash64(docs[text_col]) == rows["_hash"])
@@ -394,7 +448,8 @@ def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: s
     occur elsewhere than a partner would share are done with. 2. The others get four fingerprints. Covering masks
     guarantee that a pair collides if any half of any of them differs in HALF_RADIUS bits or fewer. Buckets
     give minimum spanning forests by the distance of all four.
-    3. The links of these are checked by the exact similarity.
+    3. The links of these are checked by the exact similarity, then other candidates between what is still apart,
+    until every candidate is checked or joins nothing.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     looked = narrow.select("text").mapInArrow(tidied(lambda b: _smallest(b, words, similarity)), "t long, s long")
@@ -404,10 +459,11 @@ def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: s
     social = counted.where(F.coalesce("count", F.lit(0)) <= most_alone)
     chosen = cut_lineage(social.select("t", F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
     rows = _pick(narrow, chosen, "doc_id", "text", "inner").select("t", "text")
-    long_ = cut_lineage(rows.mapInArrow(tidied(lambda b: _long_prints(b, words)), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>")).dropDuplicates(["t"])
+    long_ = cut_lineage(rows.mapInArrow(tidied(lambda b: _long_prints(b, words)), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>").dropDuplicates(["t"]))
 
     keys = F.array(*(F.xxhash64(F.lit(1000 * k + i), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m)))) for k in range(4) for i, m in enumerate(_wide_masks())))
-    dealt = long_.select(F.explode(keys).alias("key"), "t", "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "t")
+    deal = lambda rows, *more: rows.select(F.explode(keys).alias("key"), "t", *more, "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "t")
+    dealt = deal(long_)
     found = dealt.mapInArrow(tidied(_compared), "a long, b long, w int").groupBy("a", "b").agg(F.min("w").alias("w"))
     found = cut_lineage(found)
 
@@ -423,11 +479,26 @@ def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: s
 
     forest = thinned(found)
     linked = similar(forest)
-    # Where a link of the forest was none, others between what it would have joined get their turn.
-    of = connected(linked)
-    root = lambda c: of.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    apart = found.join(forest.select("a", "b"), ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    return linked.union(similar(thinned(cut_lineage(apart.select("a", "b", "w")))))
+    # Where links of the forest were none, candidates of the buckets between what they would have joined are checked,
+    # more of each text in each round, until none is left that would join two components.
+    crowd = connected(found).select(F.col("node").alias("t"), F.col("root").alias("crowd"))
+    checked, most = forest.select("a", "b"), MOST_FIRST
+    while True:
+        each = crowd.join(connected(linked).withColumnRenamed("node", "t"), "t", "left").select("t", "crowd", F.coalesce("root", "t").alias("root"))
+        open_ = each.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("crowd")
+        rows = cut_lineage(each.join(open_, "crowd").select("t", "root"))
+        if not rows.limit(1).count():
+            return linked
+        dealt = deal(long_.join(rows, "t").withColumn("n", F.size("shingles").cast("long")), "root", "n")
+        found = cut_lineage(dealt.mapInArrow(tidied(lambda b, most=most: _crossing(b, most, similarity)), "a long, b long").distinct())
+        new = cut_lineage(found.where("a is not null").join(checked, ["a", "b"], "left_anti"))
+        more = found.where("a is null").limit(1).count()
+        if new.limit(1).count():
+            linked, checked = cut_lineage(linked.union(similar(new))), cut_lineage(checked.union(new))
+        elif not more:
+            return linked
+        if more:
+            most *= 8
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -41,3 +41,29 @@ def test_partners_share_as_many_of_their_smallest_shingles_as_asked_for(spark):
         if _similar(set(a.tolist()), set(b.tolist())):
             low = [set(np.sort(x)[: simhash._looked_up(len(x), 0.8)].tolist()) for x in (a, b)]
             assert len(low[0] & low[1]) >= max(asked[n], asked[len(b)])
+
+
+def test_near_dedup_of_crowds_is_that_of_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(200):
+            copy = list(base)
+            for at in rng.sample(range(150), 2):
+                copy[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def of(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if of(i) != of(j) and _similar(sets[i], sets[j]):
+                root[max(of(i), of(j))] = min(of(i), of(j))
+    left = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in left) == [i for i in range(len(texts)) if of(i) == i]
