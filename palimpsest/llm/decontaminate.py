@@ -7,7 +7,8 @@ when they occur whole. Matched spans are removed, and documents of which more th
 matched go altogether.
 
 The scan is a narrow operation over the documents. The benchmark is split into automata of a bounded
-number of words; each is broadcast and applied in turn, so any size of benchmark works.
+number of words, each of which is broadcast. A cut needs the matches of all of them on the same text, so
+a worker that cuts holds them all.
 """
 
 from __future__ import annotations
@@ -195,15 +196,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     return out.select("doc_id", "n_words", covered.alias("n_hit"), "hits", "item_ids")
 
 
-def clean_text(text: str, automaton: SuffixAutomaton) -> tuple[str, int, int]:
-    """The text without matched spans, its words, and how many of them were matched at first.
+def clean_text(text: str, *automata: SuffixAutomaton) -> tuple[str, int, int]:
+    """The text without spans that any automaton matches, its words, and how many of them were matched at first.
 
     What is left is scanned again until nothing matches, since a cut brings words together.
     """
     raw, first = text.encode("utf-8", "surrogatepass"), None
     while True:
         words = raw.translate(_NORMAL).split()
-        found, _ = automaton.scan(words)
+        found: list[list[int]] = []
+        for a, b in sorted(span for one in automata for span in one.scan(words)[0]):
+            SuffixAutomaton._cover(found, a, b)
         if first is None:
             first = (len(words), sum(b - a for a, b in found))
         if not found:
@@ -223,19 +226,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     spark, place = docs.sparkSession, docs.columns.index(text_col)
     text_batches(spark)
     schema = T.StructType(docs.schema.fields)
-    for one in automata(items, window=window, most_words=most_words):
-        shared = spark.sparkContext.broadcast(one)
-
-        def cleaned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                texts, keep = [], []
-                for text in batch.column(place).to_pylist():
-                    new, n, hit = clean_text(text, automaton) if text else (text, 0, 0)
-                    texts.append(new)
-                    keep.append(hit <= most_coverage * n)
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(tidied(cleaned), schema)
-    return docs
+    shared = [spark.sparkContext.broadcast(one) for one in automata(items, window=window, most_words=most_words)]
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [one.value for one in shared]
+        for batch in batches:
+            texts, keep = [], []
+            for text in batch.column(place).to_pylist():
+                new, n, hit = clean_text(text, *known) if text else (text, 0, 0)
+                texts.append(new)
+                keep.append(hit <= most_coverage * n)
+            batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(tidied(cleaned), schema)

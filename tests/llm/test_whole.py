@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from palimpsest.llm import simhash
+from palimpsest.llm import decontaminate, simhash
 
 
 def _similar(a, b):
@@ -67,3 +68,36 @@ def test_near_dedup_of_crowds_is_that_of_brute_force(spark):
                 root[max(of(i), of(j))] = min(of(i), of(j))
     left = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in left) == [i for i in range(len(texts)) if of(i) == i]
+
+
+@pytest.mark.parametrize("most_words", [300_000, 12, 4])
+def test_decontamination_is_the_same_for_any_number_of_automata(spark, most_words):
+    rng = random.Random(9)
+    items = [[f"i{k}x{n}" for n in range(25)] for k in range(8)]
+    items += [items[0][5:10] + [f"o{n}" for n in range(10)], [f"o{n}" for n in range(5, 10)] + items[1][:12]]
+    texts = []
+    for _ in range(60):
+        parts = [[f"f{rng.randrange(1000)}" for _ in range(rng.randrange(40))]]
+        for _ in range(rng.randrange(1, 5)):
+            item = rng.choice(items)
+            at = rng.randrange(len(item) - 9)
+            parts += [item[at : at + rng.randrange(10, 26)], [f"f{rng.randrange(1000)}" for _ in range(rng.randrange(12))]]
+        texts.append(" ".join(w for p in parts for w in p))
+    nested = items[2][:5] + items[3][:12] + items[2][5:]  # what a cut joins is a window of another item
+    texts += [" ".join([*nested, *(f"g{n}" for n in range(60))]), " ".join(items[0][:6] + items[8] + [f"g{n}" for n in range(60)])]
+    windows = {tuple(i[k : k + 10]) for i in items for k in range(len(i) - 9)}
+
+    def hit(words):
+        return {k + d for k in range(len(words) - 9) if tuple(words[k : k + 10]) in windows for d in range(10)}
+
+    want = {}
+    for n, text in enumerate(texts):
+        words = text.split()
+        if len(hit(words)) <= 0.5 * len(words):
+            while gone := hit(words):
+                words = [w for k, w in enumerate(words) if k not in gone]
+            want[n] = words
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(docs, bench, most_words=most_words).collect()}
+    assert 0 < len(want) < len(texts) and got == want
