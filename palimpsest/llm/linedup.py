@@ -5,8 +5,8 @@ often than the threshold cannot reach it and get no sketch. For the others a Hyp
 sites is built for each line hash in every partition and merged by aggregation. Lines whose estimate is
 near the threshold get exact distinct counts; the rest is decided by the estimate.
 
-A document of which more than half would go is a copy rather than a page with boilerplate: it is left as
-it is, for near-duplicate detection to judge.
+A document without text of its own is a copy rather than a page with boilerplate: it is left as it is, for
+near-duplicate detection to judge. With ``spare_half``, so is any of which more than half would go.
 """
 
 from __future__ import annotations
@@ -54,20 +54,21 @@ def boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "sou
     return spread.where(F.col("about") > sites + margin).select("line").union(exact.select("line"))
 
 
-def _cut(text: str, bad: frozenset[int]) -> tuple[str, int]:
+def _cut(text: str, bad: frozenset[int], spare_half: bool = True) -> tuple[str, int]:
     lines = text.split("\n")
     drop = [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) in bad for line in lines]
     gone = sum(len(line) for line, d in zip(lines, drop, strict=True) if d)
-    if not gone or 2 * gone > sum(map(len, lines)):
+    size = sum(map(len, lines))
+    if not gone or gone == size or (spare_half and 2 * gone > size):
         return text, 0
     return "\n".join(line for line, d in zip(lines, drop, strict=True) if not d), sum(drop)
 
 
-def remove_lines(docs: DataFrame, bad: DataFrame, *, text_col: str = "text", removed_col: str = "_removed", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def remove_lines(docs: DataFrame, bad: DataFrame, *, text_col: str = "text", removed_col: str = "_removed", broadcast_lines: int = BROADCAST_LINES, spare_half: bool = True) -> DataFrame:
     """The rows without lines whose hash is in ``bad`` (column line), and how many each has lost.
 
-    Null texts stay null and lose nothing. A text of which more than half (in characters of lines) would
-    go is left as it is.
+    Null texts stay null and lose nothing. A text of which every line but empty ones would go is left as it
+    is; with ``spare_half`` one of which more than half (in characters of lines) would go, too.
     """
     text_batches(docs.sparkSession)
     bad = cut_lineage(bad.select("line").distinct())
@@ -78,7 +79,7 @@ def remove_lines(docs: DataFrame, bad: DataFrame, *, text_col: str = "text", rem
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                done = [_cut(t, known.value) if t else (t, 0) for t in batch.column(place).to_pylist()]
+                done = [_cut(t, known.value, spare_half) if t else (t, 0) for t in batch.column(place).to_pylist()]
                 columns = list(batch.columns)
                 columns[place] = pa.array([t for t, _ in done], columns[place].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=schema.names)
@@ -93,13 +94,15 @@ def remove_lines(docs: DataFrame, bad: DataFrame, *, text_col: str = "text", rem
     joined = docs.join(hits, (F.xxhash64(text_col) == F.col("_of")) & (F.length(text_col) == F.col("_of_size")), "left")
     size = lambda lines: F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(line))
     kept = F.filter(parts, lambda line, i: ~F.array_contains("_hits", i))
-    ok = F.col("_hits").isNotNull() & (2 * size(kept) >= size(parts)) & (size(kept) < size(parts))
+    ok = F.col("_hits").isNotNull() & (size(kept) > 0) & (size(kept) < size(parts))
+    if spare_half:
+        ok &= 2 * size(kept) >= size(parts)
     return joined.select(
         *(F.when(ok, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns),
         F.when(ok, F.size("_hits")).otherwise(0).cast("long").alias(removed_col),
     )
 
 
-def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES, removed_col: str = "_removed") -> DataFrame:
+def strip_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES, removed_col: str = "_removed", spare_half: bool = True) -> DataFrame:
     """The rows without cross-site boilerplate lines, with the number of lines removed as one column more."""
-    return remove_lines(docs, boilerplate(docs, text_col=text_col, site_col=site_col, sites=sites), text_col=text_col, removed_col=removed_col)
+    return remove_lines(docs, boilerplate(docs, text_col=text_col, site_col=site_col, sites=sites), text_col=text_col, removed_col=removed_col, spare_half=spare_half)

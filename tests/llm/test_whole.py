@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from palimpsest.llm import decontaminate, simhash
+import corpus_pipeline
+from palimpsest.llm import decontaminate, linedup, simhash
 
 
 def _similar(a, b):
@@ -101,3 +102,14 @@ def test_decontamination_is_the_same_for_any_number_of_automata(spark, most_word
     bench = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")
     got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(docs, bench, most_words=most_words).collect()}
     assert 0 < len(want) < len(texts) and got == want
+
+
+@pytest.mark.parametrize("broadcast_lines", [100, 0])
+def test_pipeline_takes_shared_lines_from_texts_that_they_dominate(spark, broadcast_lines):
+    menu = "home about contact privacy terms of use and licence"
+    rows = [(n, f"{menu}\nown {n}", f"site{n}", 0) for n in range(12)] + [(20, f"{menu}\n\n{menu}", "site1", 0), (21, None, "site2", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want = {n: f"own {n}" for n in range(12)} | {20: f"{menu}\n\n{menu}", 21: None}
+    bad = linedup.boilerplate(docs)
+    assert {r.doc_id: r.text for r in linedup.remove_lines(docs, bad, broadcast_lines=broadcast_lines, spare_half=False).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
