@@ -183,8 +183,8 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(which)), data], names=["list", "vec_id", "v"])
 
     schema = "list int, vec_id long, v binary"
-    postings = rows.select("vec_id", "v").mapInArrow(tidied(lambda b: filed(b, False)), schema)
-    asked = rows.where("_query").select("vec_id", "v").mapInArrow(tidied(lambda b: filed(b, True)), schema)
+    postings = rows.select("vec_id", "v").distinct().mapInArrow(tidied(lambda b: filed(b, False)), schema)
+    asked = rows.where("_query").select("vec_id", "v").distinct().mapInArrow(tidied(lambda b: filed(b, True)), schema)
     parts = cut_lineage(postings.groupBy("list").agg(F.ceil(F.count("*") / list_cap).cast("int").alias("parts")))
     cut = F.broadcast(parts)  # a row for each centroid: MOST_LISTS at most
     dealt = postings.join(cut, "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
@@ -195,7 +195,7 @@ def search(
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
         at, ids, points = None, [], []
-        posted: tuple[np.ndarray, np.ndarray] | None = None
+        posted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
         def shrunk() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             q, v, s = (np.concatenate(c) for c in zip(*best, strict=True))
@@ -228,10 +228,16 @@ def search(
                     continue
                 if not ids:
                     continue
-                posted = posted or (np.concatenate(ids), np.concatenate(points))
+                if posted is None:  # rows of one id lie together
+                    own = np.concatenate(ids)
+                    order = np.argsort(own, kind="stable")
+                    names, first = np.unique(own[order], return_index=True)
+                    posted = names, np.concatenate(points)[order], first
                 for lo in range(0, b - a, 256):
                     who = every[a + lo : min(b, a + lo + 256)]
                     score = x[lo : lo + 256] @ posted[1].T
+                    if len(posted[0]) < score.shape[1]:
+                        score = np.maximum.reduceat(score, posted[2], axis=1)
                     score[who[:, None] == posted[0][None, :]] = -np.inf
                     k = min(neighbours + 8, score.shape[1])
                     top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(k), score.shape)

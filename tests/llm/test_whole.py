@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import decontaminate, linedup, simhash
+from palimpsest.llm import ann, decontaminate, linedup, simhash
 
 
 def _similar(a, b):
@@ -113,3 +114,14 @@ def test_pipeline_takes_shared_lines_from_texts_that_they_dominate(spark, broadc
     bad = linedup.boilerplate(docs)
     assert {r.doc_id: r.text for r in linedup.remove_lines(docs, bad, broadcast_lines=broadcast_lines, spare_half=False).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("step", [0.0, 1e-6])
+def test_many_rows_of_one_id_leave_room_for_the_other_neighbours(spark, step):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(60, 8))
+    vectors[7] = 3 * vectors[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(7, (vectors[7] * (1 - step * k)).tolist()) for k in range(40)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    score = vectors @ vectors[0]
+    assert [r.vec_id for r in got] == [i for i in np.argsort(-score).tolist() if i != 0][:20]
