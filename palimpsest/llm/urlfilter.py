@@ -4,9 +4,9 @@ A list is a history: entries (pattern, category, action, dated), where ``add`` p
 and ``remove`` takes it off. The history becomes validity intervals, and a capture is judged by the
 entries that were active when it was fetched.
 
-A pattern is a host with or without a path prefix of one or two segments ("ads.example.com",
+A pattern is a host with or without a path prefix of any number of segments ("ads.example.com",
 "example.com/ads"); it covers its subdomains. Each capture is looked up under every suffix of its host,
-with none, one and two segments of its path, so the join is by equality.
+with every prefix of its path that is no deeper than the list's deepest, so the join is by equality.
 
 Everything here is DataFrame operations.
 """
@@ -27,17 +27,18 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.+$", "")
 
 
-def _segments(url: Column) -> Column:
-    """The first two segments of the path, as given."""
+def _segments(url: Column, deepest: int | None) -> Column:
+    """The first ``deepest`` segments of the path, as given; all if that is None."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
-    return F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, 2)
+    found = F.filter(F.split(path, "/"), lambda s: s != "")
+    return found if deepest is None else F.slice(found, 1, deepest)
 
 
-def lookup_keys(url: Column) -> Column:
-    """Every pattern that would cover the URL: suffixes of its host times prefixes of its path."""
+def lookup_keys(url: Column, deepest: int | None = None) -> Column:
+    """Every pattern of up to ``deepest`` segments that would cover the URL: suffixes of its host times prefixes of its path."""
     labels = F.split(host_of(url), r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(0), F.size(_segments(url))), lambda n: F.array_join(F.transform(F.slice(_segments(url), 1, n), lambda s: F.concat(F.lit("/"), s)), ""))
+    paths = F.transform(F.sequence(F.lit(0), F.size(_segments(url, deepest))), lambda n: F.array_join(F.transform(F.slice(_segments(url, deepest), 1, n), lambda s: F.concat(F.lit("/"), s)), ""))
     return F.when(host_of(url) != "", F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
 
 
@@ -61,10 +62,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id"
     occur; an empty list blocks nothing; other columns are ignored.
     """
     list_ = cut_lineage(intervals(entries))
-    if list_.count() <= broadcast_intervals:
+    size, deepest = list_.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/"))) - 1, F.lit(0))).head()
+    if size <= broadcast_intervals:
         list_ = F.broadcast(list_)
     rows = captures.select(F.col(id_col).alias("page_id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(fetched_col).cast("timestamp").alias("fetched_at"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row"))
-    asked = rows.select("row", "page_id", "host", "fetched_at", F.explode_outer(lookup_keys(F.col("url"))).alias("key"))
+    asked = rows.select("row", "page_id", "host", "fetched_at", F.explode_outer(lookup_keys(F.col("url"), deepest)).alias("key"))
     active = (F.col("key") == F.col("pattern")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     judged = asked.join(list_, active, "left").groupBy("row", "page_id", "host", "fetched_at").agg(
         F.count("pattern").alias("n_entries"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import ann, decontaminate, linedup, simhash
+from palimpsest.llm import ann, decontaminate, linedup, simhash, urlfilter
 
 
 def _similar(a, b):
@@ -125,3 +125,13 @@ def test_many_rows_of_one_id_leave_room_for_the_other_neighbours(spark, step):
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     score = vectors @ vectors[0]
     assert [r.vec_id for r in got] == [i for i in np.argsort(-score).tolist() if i != 0][:20]
+
+
+@pytest.mark.parametrize("broadcast_intervals", [100, 0])
+def test_list_entries_of_any_depth_cover_captures(spark, broadcast_intervals):
+    entries = [("example.com/a/b/c", "three", "add", "2024-01-01"), ("example.com/a/b/c/d/e", "five", "add", "2024-01-01"), ("example.com/a/b", "two", "add", "2024-01-01")]
+    urls = ["http://www.example.com/a/b/c", "http://example.com/a/b/c/d/e/f?x=/y", "http://example.com/a/b/cc", "http://example.com/a", "http://example.com", None]
+    pages = spark.createDataFrame([(n, u, "2024-02-01 00:00:00") for n, u in enumerate(urls)], "page_id long, url string, fetched_at string")
+    list_ = spark.createDataFrame(entries, "pattern string, category string, action string, dated string")
+    got = {r.page_id: r.categories for r in urlfilter.evaluate(pages, list_, broadcast_intervals=broadcast_intervals).collect()}
+    assert got == {0: "three,two", 1: "five,three,two", 2: "two", 3: "", 4: "", 5: ""}
