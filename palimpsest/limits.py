@@ -34,10 +34,9 @@ class Limits:
         if row["total_chars"] > self.max_total_chars:
             raise LimitExceededError("length of all documents", row["total_chars"], self.max_total_chars)
 
-    def check_findings(self, annotated: DataFrame) -> None:
-        count = annotated.agg(F.coalesce(F.sum(F.size("findings").cast("long")), F.lit(0))).head()[0]
-        if count > self.max_findings:
-            raise LimitExceededError("number of findings", count, self.max_findings)
+    def check_count(self, findings: int) -> None:
+        if findings > self.max_findings:
+            raise LimitExceededError("number of findings", findings, self.max_findings)
 
     def quarantine(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Documents within max_chars, and those beyond: for jobs that set oversized ones aside instead of failing."""

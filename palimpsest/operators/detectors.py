@@ -1,7 +1,7 @@
 """Detectors: how findings come out of a text.
 
 A native detector is a column expression; it runs in the JVM and is visible to the optimizer. A Python
-detector is any class with a ``find`` method; it runs in an Arrow-batched function and fails by batch.
+detector is any class with a ``find`` method; it runs in an Arrow-batched function and fails by text.
 """
 
 from __future__ import annotations
@@ -151,10 +151,14 @@ class SecretDetector(Detector):
     _GATES: ClassVar[dict[str, str]] = {"aws_access_key": "A", "github_token": "_", "slack_token": "xox", "anthropic_key": "sk-ant-", "google_api_key": "AIza", "jwt": "eyJ", "private_key_block": "-----BEGIN", "credentials_in_url": "://"}
 
     def findings(self, text: Column, document: Column, on_error: str = "warn") -> Column:
-        return F.concat(*(
-            self.stamped(spans(text, pattern, text.contains(self._GATES.get(kind, ""))), document, lambda f, kind=kind: F.create_map(F.lit("kind"), F.lit(kind)))
-            for kind, pattern in self.patterns.items()
-        ))
+        each = []
+        for kind, pattern in self.patterns.items():
+            found = spans(text, pattern, text.contains(self._GATES.get(kind, "")))
+            if kind == "jwt":  # what stands before it in the same run of characters is no part of it
+                before = lambda f: F.length(F.regexp_extract(f["m"], patterns.JWT_BEFORE, 1))
+                found = F.transform(found, lambda f: F.struct((f["beg"] + before(f)).alias("beg"), F.substring(f["m"], before(f) + 1, F.length(f["m"])).alias("m")))
+            each.append(self.stamped(found, document, lambda f, kind=kind: F.create_map(F.lit("kind"), F.lit(kind))))
+        return F.concat(*each)
 
 
 class PasswordDetector(RegexDetector):
@@ -178,8 +182,9 @@ class PasswordDetector(RegexDetector):
 class PythonDetector(Detector):
     """Any Python code: override ``find``, or ``find_batch`` for models that are faster on many texts.
 
-    A batch in which the detector raises has no findings. on_detector_error: "raise" fails the job with the
-    kind of error, "warn" and "ignore" go on; ``Scrubber.detector_errors`` counts what was skipped.
+    A text on which the detector raises has none of its findings; a batch that fails is done text by text.
+    on_detector_error: "raise" fails the job with the kind of error, "warn" counts the texts and warns, "ignore"
+    goes on. ``ScrubResult.failed`` names them, so that they can be set aside.
     """
 
     def find(self, text: str, document: str | None = None) -> Iterator[Finding]:
@@ -194,26 +199,36 @@ class PythonDetector(Detector):
     def finding(self, beg: int, end: int, text: str, document: str | None = None, score: float | None = None, pii_type: str | None = None, context: dict[str, str] | None = None) -> Finding:
         return Finding(beg, end, text, pii_type or self.pii_type, self.name, self.score if score is None else score, self.locale, document, context or {})
 
-    def _outcome(self, text: Column, document: Column, on_error: str) -> Column:
+    def _rows(self, texts: list[str], documents: list[str | None]) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in texts]
+        for i, f in self.find_batch(texts, documents):
+            out[i].append({"beg": f.beg, "end": f.end, "text": f.text, "pii_type": f.pii_type, "detector": f.detector, "score": float(f.score), "locale": f.locale, "document": f.document, "context": dict(f.context) or None})
+        return out
+
+    def outcome(self, text: Column, document: Column, on_error: str) -> Column:
+        """struct<findings, error> of a text; the error is the kind of exception that it raised alone."""
+
         def run(texts: pd.Series, documents: pd.Series) -> pd.DataFrame:
-            out: list[list[dict]] = [[] for _ in texts]
+            found: list[list[dict]] = [[] for _ in texts]
+            errors: list[str | None] = [None] * len(texts)
             some = [i for i, t in enumerate(texts) if t is not None]
             try:
-                for i, f in self.find_batch([texts.iloc[i] for i in some], [documents.iloc[i] for i in some]):
-                    out[some[i]].append({"beg": f.beg, "end": f.end, "text": f.text, "pii_type": f.pii_type, "detector": f.detector, "score": float(f.score), "locale": f.locale, "document": f.document, "context": dict(f.context) or None})
-            except Exception as error:  # the message may hold text, the kind does not
+                for i, rows in zip(some, self._rows([texts.iloc[i] for i in some], [documents.iloc[i] for i in some]), strict=True):
+                    found[i] = rows
+            except Exception as failure:  # the message may hold text, the kind does not
                 if on_error == "raise":
-                    raise DetectorError(self.name, type(error).__name__) from None
-                return pd.DataFrame({"findings": [[] for _ in texts], "error": [type(error).__name__] * len(texts)})
-            return pd.DataFrame({"findings": out, "error": [None] * len(texts)})
+                    raise DetectorError(self.name, type(failure).__name__) from None
+                for i in some:  # text by text, so that one does not take the others along
+                    try:
+                        found[i] = self._rows([texts.iloc[i]], [documents.iloc[i]])[0]
+                    except Exception as error:
+                        found[i], errors[i] = [], type(error).__name__
+            return pd.DataFrame({"findings": found, "error": errors})
 
         return F.pandas_udf(run, f"struct<findings:{FINDINGS},error:string>")(text, document)
 
     def findings(self, text: Column, document: Column, on_error: str = "warn") -> Column:
-        return F.coalesce(self._outcome(text, document, on_error)["findings"], F.array().cast(FINDINGS))
-
-    def errors(self, text: Column, document: Column) -> Column:
-        return self._outcome(text, document, "ignore")["error"]
+        return F.coalesce(self.outcome(text, document, on_error)["findings"], F.array().cast(FINDINGS))
 
 
 class PythonRegexDetector(PythonDetector):

@@ -85,7 +85,7 @@ def number(mentions: DataFrame, known: DataFrame | None = None, rows_per_task: i
 
     An entity that several kinds claim (by a key of one's own) has the kind of its first mention.
     """
-    first = mentions.groupBy("key").agg(F.min(F.struct("doc_ord", "beg", "pii_type")).alias("first"))
+    first = mentions.groupBy("key").agg(F.min(F.struct("doc_ord", "beg", "pii_type", "key")).alias("first"))  # ends with the key: no two are equal
     new = first if known is None else first.join(known.select("key"), "key", "left_anti")
     ranked = _ranked(new.select("key", "first.pii_type", "first"), rows_per_task)
     if known is None:

@@ -21,9 +21,15 @@ def digest(text: str, salt: bytes, length: int) -> str:
 class Renderer(ABC):
     #: Whether ``render`` needs to know the entity's number.
     needs_index = False
+    #: Whether it needs the salted hash of the entity's text, from ``hashes``.
+    needs_hash = False
     #: Whether replacements are tokens that can be traced back.
     traceable = False
 
+    def rendered(self, finding: Column, index: Column | None, hashed: Column | None) -> Column:
+        """The replacement, with the number and the hash that the renderer asked for."""
+        return self.render(finding, index)
+
     @abstractmethod
     def render(self, finding: Column, index: Column | None = None) -> Column:
         """The replacement of one finding (a struct), never null."""
@@ -46,24 +52,27 @@ class Token(Renderer):
             raise ValueError(f"a salt has 1 to {hashlib.blake2b.MAX_KEY_SIZE} bytes")
         self.prefix, self.suffix, self.separator, self.uppercase = prefix, suffix, separator, uppercase
         self.include_kind, self.include_count, self.include_hash = include_kind, include_count, include_hash
-        self.salt, self.hash_length, self.needs_index = salt, hash_length, include_count
+        self.salt, self.hash_length, self.needs_index, self.needs_hash = salt, hash_length, include_count, include_hash
 
-    def _hash(self, text: Column) -> Column:
-        """Spark has no BLAKE2b: an Arrow-batched function, whose closure keeps the salt out of the plan."""
+    def hashes(self, texts: Column) -> Column:
+        """Hashes of an array of texts. Spark has no BLAKE2b: an Arrow-batched function, whose closure keeps the salt out of the plan."""
         salt, length = self.salt, self.hash_length
 
-        def digests(texts: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else digest(t.casefold(), salt, length) for t in texts], dtype=object)
+        def digests(lists: pd.Series) -> pd.Series:
+            return pd.Series([None if some is None else [digest(t.casefold(), salt, length) for t in some] for some in lists], dtype=object)
 
-        return F.pandas_udf(digests, "string")(text)
+        return F.pandas_udf(digests, "array<string>")(texts)
 
-    def render(self, finding: Column, index: Column | None = None, hashed: Column | None = None) -> Column:
+    def rendered(self, finding: Column, index: Column | None, hashed: Column | None) -> Column:
         parts = [F.replace(finding["pii_type"], F.lit(" "), F.lit("_"))] if self.include_kind else []
         parts += [index.cast("string")] if self.include_count else []
-        parts += [self._hash(finding["text"]) if hashed is None else hashed] if self.include_hash else []
+        parts += [hashed] if self.include_hash else []
         body = F.concat_ws(self.separator, *parts)
         return F.concat(F.lit(self.prefix), F.upper(body) if self.uppercase else body, F.lit(self.suffix))
 
+    def render(self, finding: Column, index: Column | None = None) -> Column:
+        return self.rendered(finding, index, F.get(self.hashes(F.array(finding["text"])), F.lit(0)) if self.include_hash else None)
+
 
 class Mask(Renderer):
     """As many signs as there were characters, or a fixed number; the last few characters may stay."""

@@ -7,7 +7,6 @@ consumed and given back, and places come from what lies between matches.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +21,8 @@ from palimpsest.operators.registry import default_registry
 from palimpsest.operators.render import Mask, Remove, Renderer, Token
 from palimpsest.operators.resolve import resolve_rows
 from palimpsest.plans.engine import Scrubber, as_documents
-from palimpsest.sources.reports import findings_json, findings_tsv
+from palimpsest.plans.lineage import shared_folder
+from palimpsest.sources.reports import detector_table, findings_json, findings_tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,6 +62,7 @@ _FIXTURES = {
     "ipv6s": ("orders", "o_orderkey", "concat('from ', substr({h}, 1, 4), case o_orderkey % 4 when 0 then concat('::', substr({h}, 5, 4)) when 1 then concat(':', substr({h}, 5, 4), ':0:0:0:0:', substr({h}, 9, 4), ':', substr({h}, 13, 4)) when 2 then concat(':', substr({h}, 5, 4), ':1:2:3:4:5:6:', substr({h}, 9, 4)) else concat(':', substr({h}, 5, 2), '::', substr({h}, 7, 3), '::1') end, ' at 12:30:45')", "md5(cast(o_orderkey as {string}))"),
     "ibans": ("customer", "c_custkey", "concat('pay ', {h}, case when c_custkey % 3 = 0 then '' else ' by' end, ' today')", "concat('GB', lpad(cast(98 - {mod} as {string}), 2, '0'), 'WEST', lpad(cast(c_custkey * 7919 % 1000000 as {string}), 6, '0'), lpad(cast((c_custkey + case when c_custkey % 7 = 0 then 1 else 0 end) as {string}), 8, '0'))"),
     "keys": ("customer", "c_custkey", "concat('use ', case c_custkey % 4 when 0 then concat('AKIA', upper(substr({h}, 1, 16))) when 1 then concat('ghp_', {h}, substr({h}, 1, 4)) when 2 then concat('eyJ', substr({h}, 1, 12), '.eyJ', substr({h}, 3, 12), '.', substr({h}, 5, 20)) else concat('AKIA', upper(substr({h}, 1, 12))) end, ' now')", "md5(cast(c_custkey as {string}))"),
+    "long_keys": ("customer", "c_custkey", "case c_custkey % 3 when 0 then concat('auth eyJ', substr({h}, 1, 12), '.eyJ', repeat({h}, 200), '.', {h}, ' end') when 1 then concat('see -----BEGIN RSA PRIVATE KEY-----', chr(10), repeat(concat({h}, chr(10)), 350), '-----END RSA PRIVATE KEY----- end') else concat('password = \"', repeat({h}, 350), '\" end') end", "md5(cast(c_custkey as {string}))"),
     "badges": ("orders", "o_orderkey", "concat('badge EMP-', lpad(cast(o_orderkey % 1000000 as {string}), 6, '0'), ' or EMP-', o_custkey, '.')", ""),
     "addresses": ("pages", "page_id", "concat('see ', url, '. (', url, ')')", ""),
 }
@@ -194,6 +195,17 @@ def find_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(found.withColumn("kind", F.col("context")["kind"]), "kind")
 
 
+_LONG = _fixture_sql("long_keys", "varchar")
+_LONG_KEYS = (("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0), ("private_key_block", "-----BEGIN RSA PRIVATE KEY-----[^-]*-----END RSA PRIVATE KEY-----", 0), ("password", 'password = "([^"]+)', 1))
+
+
+@query(" union all ".join(f"select doc_id, beg, \"end\", md5(found) as found, '{kind}' as kind from ({_located(_LONG, pattern, group)})" for kind, pattern, group in _LONG_KEYS))
+def find_long_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, tokens and passwords of thousands of characters are found whole."""
+    found = Scrubber(detectors=["secret", "password"]).find_documents(_fixture(spark, sf_dir, "long_keys"))
+    return found.select(F.col("doc_ord").alias("doc_id"), "beg", "end", F.md5("text").alias("found"), F.coalesce(F.col("context")["kind"], "detector").alias("kind"))
+
+
 class Badge(RegexDetector):
     """A detector of one's own: an employee number after its label."""
 
@@ -273,7 +285,7 @@ def select_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select * from (values ('credit_card', true), ('email', true), ('iban', true), ('ip', true), ('password', true), ('secret', true), ('url', true), ('uuid', false)) t(name, autoload)")
 def list_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(e.name, e.autoload) for e in default_registry(plugins=False) if e.name != "phone"], "name string, autoload boolean")
+    return detector_table(spark)[0].where("not plugin and name <> 'phone'").select("name", F.col("default").alias("autoload"))
 
 
 # Overlap resolution, on spans made of lineitem: an order is a document, its lines are findings
@@ -373,7 +385,11 @@ def render_token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Numbering
 
 _MENTIONS = f"select doc_id, beg, found, 'email:' || lower(found) as key from ({_located(_DOCS, _EMAIL)})"
-_INDEX = f"select key, row_number() over (order by first) - 1 as index from (select key, min({{'doc': doc_id, 'beg': beg}}) as first from ({_MENTIONS}) group by key)"
+def _index(order: str) -> str:
+    return f"select key, row_number() over (order by first) - 1 as index from (select key, min({{'doc': {order}, 'beg': beg, 'key': key}}) as first from ({_MENTIONS}) group by key)"
+
+
+_INDEX = _index("doc_id")
 
 
 def _numbered_sql(index: str) -> str:
@@ -390,6 +406,21 @@ def render_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("doc_ord").alias("doc_id"), "text")
 
 
+@query(f"select doc_id // 3 as id, text from ({_numbered_sql(_index('doc_id // 3'))})")
+def render_count_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows share an id; each is a document of its own."""
+    docs = _spread(_table(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("id"), "text"))
+    cleaned = Scrubber(detectors=["email"], renderer=Token(include_count=True)).clean_documents(docs, id_col="id")
+    return cleaned.select(F.col("doc_ord").alias("id"), "text")
+
+
+@query(f"select 'd' || doc_id as id, text from ({_numbered_sql(_index("'d' || doc_id"))})")
+def render_count_string_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _spread(_table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"))
+    cleaned = Scrubber(detectors=["email"], renderer=Token(include_count=True)).clean_documents(docs, id_col="id")
+    return cleaned.select(F.col("document").alias("id"), "text")
+
+
 @query(f"select key, 'email' as pii_type, index from ({_INDEX})")
 def tokens_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scrubber(detectors=["email"], renderer=Token(include_count=True)).scrub_documents(_documents(spark, sf_dir)).tokens.counts
@@ -494,7 +525,7 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents*").parquet(sf_dir)
     cleaned = clean_stream(Scrubber(detectors=["email"]), as_documents(docs.select("doc_id", "text"), id_col="doc_id"))
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    home = shared_folder(spark)
     out = f"{home}/stream-{uuid.uuid4()}"
     cleaned.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/data").select(F.col("doc_ord").alias("doc_id"), "text")

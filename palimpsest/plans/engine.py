@@ -2,7 +2,8 @@
 
 A document is a row with ``document`` (its name, maybe null), ``doc_ord`` (its place in the order that
 numbers follow) and ``text``. Detection, threshold, resolution and rendering are narrow: no shuffle, and
-the same plan serves streams. Only numbering shuffles, and only the findings' keys.
+the same plan serves streams. Numbering detects once, into a checkpoint in which every row has a key of its own;
+then it shuffles the findings, and the texts that have any.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from palimpsest.operators.numbering import TokenMap, number
 from palimpsest.operators.registry import Registry, default_registry
 from palimpsest.operators.render import Renderer, Token, rebuild, replaceable
 from palimpsest.operators.resolve import Strategy, resolve
+from palimpsest.plans.lineage import cut_lineage
 
 
 @dataclass
@@ -32,6 +34,12 @@ class ScrubResult:
     documents: DataFrame
     findings: DataFrame
     tokens: TokenMap
+    #: (document, doc_ord, detector, error): texts that a Python detector failed on, where that was looked for.
+    failed: DataFrame | None = None
+
+
+#: Columns of annotated documents: a row's own key, errors of detectors, findings before resolution.
+_ROW, _FAILED, _FOUND = "_row", "_failed", "_n_found"
 
 
 def _spark() -> SparkSession:
@@ -39,9 +47,15 @@ def _spark() -> SparkSession:
 
 
 def as_documents(source: DataFrame | Mapping[str, str] | Sequence[str], *, text_col: str = "text", id_col: str | None = None, order_col: str | None = None) -> DataFrame:
-    """(document, doc_ord, text) from a table, a mapping of names to texts, or texts (named "0", "1", ...)."""
+    """(document, doc_ord, text) from a table, a mapping of names to texts, or texts (named "0", "1", ...).
+
+    A table without ``order_col`` or doc_ord is ordered by its ids, whatever their type. Ids may be null or repeat: each
+    row is a document of its own.
+    """
     if isinstance(source, DataFrame):
-        order = F.col(order_col) if order_col else F.col("doc_ord") if "doc_ord" in source.columns else F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
+        order = F.col(order_col) if order_col else F.col("doc_ord") if "doc_ord" in source.columns else F.col(id_col) if id_col else F.monotonically_increasing_id()
+        if id_col and not order_col and source.schema[id_col].dataType.typeName() in ("byte", "short", "integer"):
+            order = order.cast("long")
         name = F.col(id_col) if id_col else F.col("document") if "document" in source.columns else order
         return source.select(name.cast("string").alias("document"), order.alias("doc_ord"), F.col(text_col).alias("text"))
     named = source.items() if isinstance(source, Mapping) else ((str(i), t) for i, t in enumerate(source))
@@ -89,7 +103,9 @@ class Scrubber:
         """What all detectors report of a text, above the threshold, in the order they run."""
         document = F.lit(None).cast("string") if document is None else document
         each = [d.findings(text, document, self.on_detector_error) for d in self.detectors]
-        found = F.concat(*each) if each else F.array().cast(FINDINGS)
+        return self._above(F.concat(*each) if each else F.array().cast(FINDINGS))
+
+    def _above(self, found: Column) -> Column:
         return F.filter(found, lambda f: f["score"] >= self.min_score) if self.min_score > 0 else found
 
     def resolve_column(self, findings: Column) -> Column:
@@ -98,60 +114,90 @@ class Scrubber:
     # tables
 
     def annotate(self, docs: DataFrame) -> DataFrame:
-        """Documents with ``findings`` resolved. Null texts have none.
+        """Documents with ``findings`` resolved. Null texts have none."""
+        return self._annotated(docs).drop(_FAILED, _FOUND)
+
+    def _annotated(self, docs: DataFrame) -> DataFrame:
+        """The same with the errors of Python detectors and the number of findings before resolution.
 
         The arrays of detection and of resolution are computed in steps of their own: each is used several
         times below, and an expression inlined there would run the patterns again.
         """
-        found = docs.withColumn("_found", self.findings_column(F.col("text"), F.col("document")))
-        found = _once(found, "_found")
-        return _once(found.withColumn("findings", self.resolve_column(F.col("_found"))).drop("_found"), "findings")
+        each, failed, found = [], [], docs
+        for i, d in enumerate(self.detectors):
+            if isinstance(d, PythonDetector):
+                found = _once(found.withColumn(f"_outcome{i}", d.outcome(F.col("text"), F.col("document"), self.on_detector_error)), f"_outcome{i}")
+                error = F.col(f"_outcome{i}")["error"]
+                failed.append(F.when(error.isNotNull(), F.struct(F.lit(d.name).alias("detector"), error.alias("error"))))
+                each.append(F.coalesce(F.col(f"_outcome{i}")["findings"], F.array().cast(FINDINGS)))
+            else:
+                each.append(d.findings(F.col("text"), F.col("document"), self.on_detector_error))
+        every = self._above(F.concat(*each) if each else F.array().cast(FINDINGS))
+        errors = F.filter(F.array(*failed), lambda e: e.isNotNull()) if failed else F.array().cast("array<struct<detector:string,error:string>>")
+        found = _once(found.select(*docs.columns, every.alias("_found"), errors.alias(_FAILED)), "_found")
+        found = found.select(*docs.columns, _FAILED, F.size("_found").alias(_FOUND), self.resolve_column(F.col("_found")).alias("findings"))
+        return _once(found, "findings")
 
     def check_limits(self, docs: DataFrame) -> None:
         """One aggregate over the lengths; raises LimitExceededError."""
         self.limits.check_documents(docs)
 
-    def find_documents(self, source: Any, *, check: bool = False, **columns: str) -> DataFrame:
-        """A row for each finding, with the fields of a finding and doc_ord."""
+    def _detected(self, source: Any, check: bool | None, keep: bool, columns: dict[str, str]) -> tuple[DataFrame, DataFrame | None]:
+        """Annotated documents and those that detectors failed on. Detection runs once: where its result is used at once, it is checkpointed."""
         docs = as_documents(source, **columns)
+        check = not isinstance(source, DataFrame) if check is None else check
         if check:
             self.check_limits(docs)
-        annotated = self.annotate(docs)
+        found = self._annotated(docs)
+        warn = self.on_detector_error == "warn" and any(isinstance(d, PythonDetector) for d in self.detectors)
+        if docs.isStreaming or not (check or keep or warn):
+            return found.drop(_FAILED, _FOUND), None
+        found = cut_lineage(found.withColumn(_ROW, F.monotonically_increasing_id()))
         if check:
-            self.limits.check_findings(docs.select(self.findings_column(F.col("text"), F.col("document")).alias("findings")))
-        return explode_findings(annotated)
-
-    def scrub_documents(self, source: Any, *, check: bool = False, **columns: str) -> ScrubResult:
-        """Cleaned documents, findings and token map. With ``check`` the limits are enforced first."""
-        docs = as_documents(source, **columns)
-        if check:
-            self.check_limits(docs)
-            self.limits.check_findings(docs.select(self.findings_column(F.col("text"), F.col("document")).alias("findings")))
-        annotated = self.annotate(docs)
+            self.limits.check_count(found.agg(F.coalesce(F.sum(F.col(_FOUND).cast("long")), F.lit(0))).head()[0])
+        failed = found.select("document", "doc_ord", F.explode(_FAILED).alias("f")).select("document", "doc_ord", "f.detector", "f.error")
+        for row in failed.groupBy("detector", "error").count().orderBy("detector", "error").collect() if warn else ():
+            warnings.warn(f"detector {row['detector']!r} failed on {row['count']} texts and was skipped there: {row['error']}", RuntimeWarning, stacklevel=4)
+        return found.drop(_FAILED, _FOUND), failed
+
+    def find_documents(self, source: Any, *, check: bool | None = None, **columns: str) -> DataFrame:
+        """A row for each finding, with the fields of a finding and doc_ord. ``check`` as in ``scrub_documents``."""
+        return explode_findings(self._detected(source, check, False, columns)[0])
+
+    def scrub_documents(self, source: Any, *, check: bool | None = None, **columns: str) -> ScrubResult:
+        """Cleaned documents, findings and token map.
+
+        With ``check`` the limits are enforced first; by default they are for texts in memory, not for tables.
+        Where an entity is first mentioned decides its number: by doc_ord and place, and where rows have the
+        same doc_ord by the entity's key.
+        """
+        renderer, tokens = self.renderer, self.tokens
+        annotated, failed = self._detected(source, check, renderer.needs_index, columns)
         spans = _once(annotated.withColumn("_spans", replaceable(F.col("findings"))), "_spans")
-        tokens = self.tokens
-        if not self.renderer.needs_index and not (tokens.keep_originals and self.renderer.traceable) and not getattr(self.renderer, "include_hash", False):
-            cleaned = spans.withColumn("text", rebuild(F.col("text"), F.col("_spans"), self.renderer.render))
-            return ScrubResult(cleaned.drop("_spans"), explode_findings(annotated), tokens)
-
-        mentions = spans.select("doc_ord", "document", F.posexplode("_spans").alias("_at", "f"))
-        index = None
-        if self.renderer.needs_index:
-            mentions = mentions.withColumn("key", tokens.group_key(F.col("f")))
-            counts = number(mentions.select("key", "f.pii_type", "doc_ord", "f.beg"), tokens.counts)
-            mentions = mentions.join(counts.select("key", "index"), "key", "left")
-            index = F.col("index")
-        rendered = mentions.select("doc_ord", "document", F.col("f.beg").alias("beg"), F.col("f.end").alias("end"), F.col("f.text").alias("original"), self.renderer.render(F.col("f"), index).alias("token"))
-        ready = rendered.groupBy("doc_ord", "document").agg(F.array_sort(F.collect_list(F.struct("beg", "end", "token"))).alias("_tokens"))
-        name = F.col("r.document").eqNullSafe(F.col("d.document")) & F.col("r.doc_ord").eqNullSafe(F.col("d.doc_ord"))
-        joined = annotated.alias("d").join(ready.alias("r"), name, "left").select("d.*", F.coalesce("_tokens", F.array().cast("array<struct<beg:int,end:int,token:string>>")).alias("_tokens"))
-        cleaned = joined.withColumn("text", rebuild(F.col("text"), F.col("_tokens"), lambda t: t["token"])).drop("_tokens")
-        after = TokenMap(tokens.group_key, tokens.keep_originals, counts if index is not None else tokens.counts, tokens.originals)
-        if tokens.keep_originals and self.renderer.traceable:
-            latest = rendered.groupBy("token").agg(F.max_by("original", F.struct("doc_ord", "beg")).alias("original"))
+        hashed = lambda i: None
+        if renderer.needs_hash:
+            spans = _once(spans.withColumn("_hashes", renderer.hashes(F.transform("_spans", lambda f: f["text"]))), "_hashes")
+            hashed = lambda i: F.get("_hashes", i)
+        counts, index = tokens.counts, lambda i: None
+        if renderer.needs_index:
+            mentions = annotated.where(F.size("findings") > 0).select(_ROW, "doc_ord", F.posexplode(replaceable(F.col("findings"))).alias("at", "f"))
+            mentions = mentions.select(_ROW, "at", "doc_ord", "f.beg", "f.pii_type", tokens.group_key(F.col("f")).alias("key"))
+            counts = cut_lineage(number(mentions, tokens.counts))
+            numbered = mentions.join(counts.select("key", "index"), "key", "left").groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("at", "index"))).alias("_numbers"))
+            none = F.array().cast("array<struct<at:int,index:bigint>>")
+            some = spans.where(F.size("_spans") > 0).join(numbered, _ROW)
+            spans = some.unionByName(spans.where(F.size("_spans") == 0).withColumn("_numbers", none))
+            index = lambda i: F.get("_numbers", i)["index"]
+        placed = F.transform("_spans", lambda f, i: F.struct(f["beg"].alias("beg"), f["end"].alias("end"), f["text"].alias("original"), renderer.rendered(f, index(i), hashed(i)).alias("token")))
+        ready = _once(spans.withColumn("_tokens", placed), "_tokens")
+        cleaned = ready.withColumn("text", rebuild(F.col("text"), F.col("_tokens"), lambda t: t["token"])).select("document", "doc_ord", "text", "findings")
+        after = TokenMap(tokens.group_key, tokens.keep_originals, counts, tokens.originals)
+        if tokens.keep_originals and renderer.traceable:
+            rendered = ready.select("doc_ord", F.explode("_tokens").alias("t"))
+            latest = rendered.groupBy("t.token").agg(F.max_by("t.original", F.struct("doc_ord", "t.beg", "t.original")).alias("original"))
             old = tokens.originals
             after.originals = latest if old is None else old.join(latest.select("token"), "token", "left_anti").union(latest)
-        return ScrubResult(cleaned, explode_findings(annotated), after)
+        return ScrubResult(cleaned, explode_findings(annotated), after, failed)
 
     def clean_documents(self, source: Any, **columns: str) -> DataFrame:
         """(document, doc_ord, text) cleaned."""
@@ -161,49 +207,45 @@ class Scrubber:
         """A table of any shape with one column cleaned; not for renderers that number entities."""
         if self.renderer.needs_index:
             raise ValueError("numbers hold across documents; use scrub_documents")
-        found = _once(table.withColumn("_found", self.findings_column(F.col(text_col))), "_found")
-        spans = _once(found.withColumn("_spans", replaceable(self.resolve_column(F.col("_found")))).drop("_found"), "_spans")
-        return spans.withColumn(text_col, rebuild(F.col(text_col), F.col("_spans"), self.renderer.render)).select(*table.columns)
+        if self.renderer.needs_hash:
+            raise ValueError("hashes are made in batches; use scrub_documents")
+        name = "_found"
+        while name in table.columns:
+            name = "_" + name
+        found = _once(table.withColumn(name, self.findings_column(F.col(text_col))), name)
+        spans = _once(found.withColumn(name, replaceable(self.resolve_column(F.col(name)))), name)
+        return spans.withColumn(text_col, rebuild(F.col(text_col), F.col(name), self.renderer.render)).select(*table.columns)
 
     # single texts, on the driver
 
     def find(self, text: str, document: str | None = None) -> list[Finding]:
         docs = _spark().createDataFrame([(document, 0, text)], "document string, doc_ord long, text string")
-        self.check_limits(docs)
-        rows = self.find_documents(docs).collect()
-        self._warn(docs)
-        fields = ("beg", "end", "text", "pii_type", "detector", "score", "locale", "document")
-        return [Finding(*(r[f] for f in fields), r["context"] or {}) for r in rows]
+        return [_finding(r) for r in self.find_documents(docs, check=True).orderBy("position").collect()]
 
     def scrub(self, text: str) -> tuple[str, list[Finding], TokenMap]:
         """Cleaned text, findings and token map; numbers carry on in this scrubber."""
         docs = _spark().createDataFrame([(None, 0, text)], "document string, doc_ord long, text string")
-        self.check_limits(docs)
-        result = self.scrub_documents(docs)
+        result = self.scrub_documents(docs, check=True)
         cleaned = result.documents.head()["text"]
         if self.renderer.needs_index:
             payload = result.tokens.to_dict(include_originals=True)
             self.tokens = TokenMap.from_dict(_spark(), payload, self.tokens.group_key)
             self.tokens.keep_originals = result.tokens.keep_originals
             result.tokens = self.tokens
-        return cleaned, self.find(text), result.tokens
+        return cleaned, [_finding(r) for r in result.findings.orderBy("position").collect()], result.tokens
 
     def clean(self, text: str) -> str:
         return self.scrub(text)[0]
 
     def detector_errors(self, docs: DataFrame) -> DataFrame:
-        """(detector, error, documents): batches that Python detectors failed on, by kind of error."""
-        failing = [d for d in self.detectors if isinstance(d, PythonDetector)]
-        out = docs.sparkSession.createDataFrame([], "detector string, error string, documents long")
-        for d in failing:
-            errors = docs.select(d.errors(F.col("text"), F.col("document")).alias("error")).where("error is not null")
-            out = out.union(errors.groupBy("error").count().select(F.lit(d.name), "error", F.col("count")))
-        return out
-
-    def _warn(self, docs: DataFrame) -> None:
-        if self.on_detector_error == "warn" and any(isinstance(d, PythonDetector) for d in self.detectors):
-            for row in self.detector_errors(docs).collect():
-                warnings.warn(f"detector {row['detector']!r} was skipped: {row['error']}", RuntimeWarning, stacklevel=3)
+        """(detector, error, documents): texts that Python detectors fail on, by kind of error."""
+        failed = self._annotated(docs).select(F.explode(_FAILED).alias("f"))
+        return failed.groupBy("f.detector", "f.error").agg(F.count("*").alias("documents"))
+
+
+def _finding(row: Any) -> Finding:
+    fields = ("beg", "end", "text", "pii_type", "detector", "score", "locale", "document")
+    return Finding(*(row[f] for f in fields), row["context"] or {})
 
 
 def _once(df: DataFrame, column: str) -> DataFrame:

@@ -4,10 +4,15 @@ import hashlib
 import io
 import json
 import random
+import re
+import sys
+import time
+import types
 
 import pytest
 from pyspark.sql import functions as F
 
+import palimpsest
 from palimpsest import (
     ColumnRenderer, DetectorError, DuplicateDetectorError, Entry, Finding, LimitExceededError, Limits, Mask, MissingDependencyError, PythonDetector, Registry, Remove, Scrubber, Strategy, Token, TokenMap, UnknownDetectorError, clean,
     default_registry, find,
@@ -201,10 +206,101 @@ def test_a_failing_detector(spark):
     assert "secret text" not in str(DetectorError("d", "ValueError"))
 
 
+def test_one_bad_text_takes_no_other_along_and_tables_warn(spark):
+    class Fragile(PythonDetector):
+        name, pii_type = "fragile", "word"
+
+        def find(self, text, document=None):
+            yield self.finding(0, 4, text[:4], document)
+            if "bad" in text:
+                raise KeyError(text)
+
+    docs = spark.createDataFrame([(i, "bad text" if i == 7 else f"text {i}") for i in range(30)], "id long, text string").coalesce(1)
+    scrubber = Scrubber(detectors=[Fragile()])
+    with pytest.warns(RuntimeWarning, match="1 texts.*KeyError"):
+        result = scrubber.scrub_documents(docs, id_col="id")
+    assert sorted(r.text for r in result.documents.collect()) == sorted(["bad text", *(f"{{{{WORD}}}} {i}" for i in range(30) if i != 7)])
+    assert [tuple(r) for r in result.failed.collect()] == [("7", 7, "fragile", "KeyError")]
+    assert [tuple(r) for r in scrubber.detector_errors(docs.selectExpr("cast(id as string) as document", "id as doc_ord", "text")).collect()] == [("fragile", "KeyError", 1)]
+
+
+def test_numbers_of_rows_that_share_an_id(spark):
+    rows = [(1, "mail a@b.io now"), (1, "mail a@b.io now"), (2, "a long tale c@d.io first then a@b.io"), (2, "c@d.io short"), (None, "a@b.io one"), (None, "longer c@d.io two"), (3, None), (3, "nothing")]
+    numbered = Scrubber(detectors=["email"], renderer=Token(include_count=True))
+    got = numbered.scrub_documents(spark.createDataFrame(rows, "id long, text string").repartition(3), id_col="id")
+    a, c = "{{EMAIL-0}}", "{{EMAIL-1}}"  # null ids come first
+    want = [t and t.replace("a@b.io", a).replace("c@d.io", c) for _, t in rows]
+    assert sorted(map(str, (r.text for r in got.documents.collect()))) == sorted(map(str, want))
+    assert got.documents._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 0
+    named = spark.createDataFrame([("x", "c@d.io"), ("w", "a@b.io c@d.io")], "name string, text string")
+    assert {r.document: r.text for r in numbered.scrub_documents(named, id_col="name").documents.collect()} == {"w": f"{a} {c}", "x": c}
+
+
+def test_hashes_equal_the_standard_library(spark):
+    texts = ["to joe@example.com and JOE@example.com", "nobody", None, "x@y.io"]
+    cleaned = Scrubber(detectors=["email"], renderer=Token(include_hash=True, include_count=True, salt="pepper")).scrub_documents(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), id_col="id")
+    tag = lambda t: hashlib.blake2b(t.lower().encode(), key=b"pepper", digest_size=32).hexdigest()[:8].upper()
+    joe = "{{EMAIL-0-" + tag("joe@example.com") + "}}"
+    assert [r.text for r in cleaned.documents.orderBy("doc_ord").collect()] == [f"to {joe} and {joe}", "nobody", None, "{{EMAIL-1-" + tag("x@y.io") + "}}"]
+    plan = Scrubber(detectors=["email"], renderer=Token(include_hash=True, salt="s")).scrub_documents(spark.createDataFrame([(1, "x@y.io")], "id long, text string"), id_col="id").documents
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("t eyJhbGciOi.eyJ" + "a" * 1_000_000 + ".c2ln" + "b" * 500 + " end", "eyJhbGciOi.eyJ" + "a" * 1_000_000 + ".c2ln" + "b" * 500),
+    ("x-eyJhbGciOi.eyJzdWIiOi.c2lnbmF0", "eyJhbGciOi.eyJzdWIiOi.c2lnbmF0"),
+    ("-----BEGIN PRIVATE KEY-----\n" + "a/b+" * 250_000 + "\n-----END PRIVATE KEY-----.", "-----BEGIN PRIVATE KEY-----\n" + "a/b+" * 250_000 + "\n-----END PRIVATE KEY-----"),
+    ("password='" + "p w" * 300_000 + "' x", "p w" * 300_000), ("token=" + "q" * 1_000_000, "q" * 1_000_000), ("postgres://u:" + "p" * 100_000 + "@h", "postgres://u:" + "p" * 100_000 + "@"), ("xoxb-" + "1" * 5000, "xoxb-" + "1" * 5000),
+    ("-eyJ" * 250_000, None), ("-----BEGIN PRIVATE KEY-----" + "-a" * 400_000, "-----BEGIN PRIVATE KEY-----"), ("-eyJaaaaa" * 20_000 + ".eyJ" + "a" * 800_000, None),
+])
+def test_secrets_of_any_length_in_linear_time(spark, text, found):
+    began = time.time()
+    got = Scrubber(detectors=["secret", "password"]).find_documents([text], check=False).collect()
+    assert [r.text for r in got] == ([found] if found else []) and time.time() - began < 20
+
+
+def test_phone_with_a_stand_in_for_the_library(spark, monkeypatch):
+    stub = types.ModuleType("phonenumbers")
+    stub.Leniency = types.SimpleNamespace(VALID=1, POSSIBLE=0)
+    stub.PhoneNumberMatcher = lambda text, region, leniency: [types.SimpleNamespace(start=m.start(), end=m.end(), raw_string=m.group()) for m in re.finditer(r"\+1 \d{3}" if region == "US" else r"\+49 \d{3}", text)]
+    monkeypatch.setitem(sys.modules, "phonenumbers", stub)
+    from palimpsest.operators.detectors import PhoneDetector
+
+    american, german = PhoneDetector("en_US"), PhoneDetector("de_DE", leniency="possible")
+    text = "call +1 555 or +49 301"
+    assert [(f.text, f.score) for f in american.find(text)] == [("+1 555", 1.0)] and [(f.beg, f.score) for f in german.find(text)] == [(15, 0.6)]
+    assert PhoneDetector(score=0.3, leniency="possible").score == 0.3
+    with pytest.raises(ValueError):
+        PhoneDetector(leniency="lax")
+
+
+def test_plugins(spark, monkeypatch):
+    from importlib.metadata import EntryPoint
+
+    from palimpsest.operators import registry as module
+
+    points = [EntryPoint(n, v, module.PLUGIN_GROUP) for n, v in (("email", "nowhere:X"), ("badge", "palimpsest.plans.catalogue:Badge"), ("badge", "nowhere:Y"), ("broken", "no_such_package:D"))]
+    monkeypatch.setattr(module, "entry_points", lambda group: [p for p in points if p.group == group])
+    registry = default_registry()
+    assert registry.names()[-2:] == ("badge", "broken") and not registry.entry("badge").autoload and "badge" not in default_registry(plugins=False)
+    assert Scrubber(registry=registry, detectors=["badge"]).clean("badge EMP-123456") == "badge {{EMPLOYEE_ID}}"
+    with pytest.raises(ImportError):
+        registry.load("broken")
+    out = run_cli(["list-detectors"])[1]
+    assert "badge\topt-in\tplugin\n" in out and out.endswith("\nnot used, the name is taken: email\n") and "phone\topt-in\textra=phone\n" in out
+
+
+def test_version(capsys):
+    with pytest.raises(SystemExit) as caught:
+        main(["--version"])
+    assert caught.value.code == 0 and capsys.readouterr().out == f"palimpsest {palimpsest.__version__}\n"
+
+
 def test_limits(spark):
     for limits, texts in ((Limits(max_chars=5), ["abcdef"]), (Limits(max_total_chars=5), ["abc", "def"]), (Limits(max_findings=1), ["a@b.io c@d.io"])):
         with pytest.raises(LimitExceededError):
-            Scrubber(limits=limits).scrub_documents(texts, check=True)
+            Scrubber(limits=limits).scrub_documents(texts)
+    assert Scrubber(limits=Limits(max_chars=5)).scrub_documents(spark.createDataFrame([("abcdef",)], "text string")).documents.count() == 1
     fits, rest = Limits(max_chars=3).quarantine(spark.createDataFrame([("abc",), ("abcd",), (None,)], "text string"))
     assert (fits.count(), rest.count()) == (2, 1)
 
