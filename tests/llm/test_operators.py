@@ -281,7 +281,8 @@ def test_substrings(spark, odd, rows, empty, hot):
 @pytest.mark.parametrize("broadcast_lines", [10**6, 0])
 def test_lines(spark, odd, broadcast_lines):
     shared = [(100 + i, f"own line {i} and more of it\nshared by all\nanother own line {i}", f"s{i}") for i in range(12)] + [(200, "shared by all", "s1"), (201, "shared by all\nshared by all\nshort", "s2"), (202, None, "s3"), (203, "many own words are here to stay\nshared by all", None)]
-    docs = odd.select("doc_id", "text", "source", "line").union(spark.createDataFrame(shared, "doc_id long, text string, source string").withColumn("line", F.lit(1)))
+    clashing = ("line", "_removed", "_of", "of", "hits", "at")
+    docs = odd.select("doc_id", "text", "source", "line").withColumns({c: F.lit(1) for c in clashing}).union(spark.createDataFrame(shared, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in clashing}))
     rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
     sites = {}
     for _, t, s in rows:
@@ -293,14 +294,13 @@ def test_lines(spark, odd, broadcast_lines):
     want = Counter()
     for i, t, _ in rows:
         lines = (t or "").split("\n")
-        gone = sum(len(x) for x in lines if x in bad)
-        if gone and 2 * gone <= sum(map(len, lines)):
-            want[i, "\n".join(x for x in lines if x not in bad), sum(x in bad for x in lines)] += 1
-        else:
-            want[i, t, 0] += 1
+        own = [x for x in lines if x not in bad]
+        want[(i, t, 0) if len(own) == len(lines) or not any(own) else (i, "\n".join(own), len(lines) - len(own))] += 1
     found = linedup.boilerplate(docs)
     got = linedup.remove_lines(docs, found, broadcast_lines=broadcast_lines)
-    assert Counter((r.doc_id, r.text, r._removed) for r in got.collect()) == want
+    assert got.columns == [*docs.columns, "__removed"] and got.where("_removed <> 1").count() == 0
+    assert Counter((r.doc_id, r.text, r["__removed"]) for r in got.collect()) == want
+    assert linedup.remove_lines(docs, found, broadcast_lines=broadcast_lines, removed_col=None).columns == docs.columns
     assert found.count() == len(bad) and linedup.strip_boilerplate(docs.limit(0)).count() == 0
 
 
@@ -315,6 +315,7 @@ def test_quality(spark, odd, documents, empty):
     judged = quality.score(docs, model).join(labels, "doc_id").where(quality.held_out()).where("quality is not null")
     good = judged.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("quality")).cast("double"))).head()[0]
     assert good > 0.95
+    odd = odd.withColumns({"_stat_chars": F.lit("x"), "_stat_": F.lit(1)})
     everything = quality.score(odd, model)
     assert everything.columns == [*odd.columns, "score"] and everything.where("score between 0 and 1").count() == odd.count()
     assert quality.keep_good(odd, model).columns == odd.columns
@@ -345,7 +346,60 @@ def test_language(spark, odd, empty):
     assert langid.identify(odd, model).count() == odd.count() and langid.identify(empty, model).count() == 0
     none = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert none is None and langid.identify(odd, none).where("lang_pred <> 'und'").count() == 0
-    assert langid.family_of("es") == langid.family_of("fr") != langid.family_of("de") == langid.family_of("en") and langid.family_of("xx") == "xx"
+    sizes = {x: sum(1 for c in langid.FAMILIES.values() for y in c.split() if y == x) for c in langid.FAMILIES.values() for x in c.split()}
+    assert set(sizes.values()) == {1}
+    assert langid.family_of("es") == langid.family_of("fr") != langid.family_of("de") == langid.family_of("en") and langid.family_of("xx") == "other"
+
+
+def _words_of_language(rng, seed):
+    own = random.Random(seed)
+    known = ["".join(own.choice("abcdefghijklmnopqrstuvwxyzäöüéèñ") for _ in range(own.randint(2, 7))) for _ in range(40)]
+    return " ".join(rng.choice(known) for _ in range(30))
+
+
+def test_language_keeps_every_language(spark):
+    rng = random.Random(1)
+    rows = [(i, "the same words again and again", "en") for i in range(3000)] + [(5000 + i, "lange wörter " * 12_000 + str(i), "de") for i in range(3)] + [(None, "mots sans nom", "fr")] * 30 + [(7, None, "xx"), (8, "12 34", "yy")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert sorted(x for c in model.within for x in c.names) == ["de", "en", "fr"]
+    out = langid.identify(spark.createDataFrame([(1, "same words"), (2, "wörter lange"), (3, "sans nom")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in out] == ["en", "de", "fr"]
+    codes = sorted(x for c in langid.FAMILIES.values() for x in c.split())[:110] + [f"x{i}-y" for i in range(10)]
+    rows = [(n * 100 + i, _words_of_language(rng, n), code) for n, code in enumerate(codes) for i in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.weights.nbytes <= langid.MOST_BYTES and len(model.bias) == langid.machines_of(codes)
+    asked = spark.createDataFrame([(n, _words_of_language(rng, n)) for n in range(len(codes))], "doc_id long, text string")
+    assert sum(r.lang_pred == codes[r.doc_id] for r in langid.identify(asked, model).collect()) > 0.9 * len(codes)
+
+
+def test_language_margins_are_sums_over_all_grams(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.select("text").limit(20).collect()] + ["Été", "x"]
+    import pyarrow as pa
+
+    from palimpsest.llm.common import binary_of
+
+    got = model.margins(*binary_of(pa.array(texts)))
+    for row, text in zip(got, texts, strict=True):
+        raw = b"  " + bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+        total = np.zeros(len(model.bias))
+        for i in range(2, len(raw)):
+            pair = raw[i] | raw[i - 1] << 8
+            triple = ((pair | raw[i - 2] << 16) * 2654435761 % 2**32) >> 16
+            total += model.weights[pair].astype(float) + model.weights[2**16 + triple]
+        assert np.allclose(row, total * 30 / (len(raw) - 2) + model.bias, atol=1e-4)
+
+
+def test_quality_statistics_by_hand():
+    text = "One two  two, THREE!\n#4 | é"
+    n = len(text.encode())
+    words = ["One", "two", "two,", "THREE!", "#4", "|", "é"]
+    of = lambda chars: sum(text.count(c) for c in chars) / n
+    want = [len(text), 7, sum(map(len, words)) / 7, 1.0, 0.0, sum(c.isupper() for c in text) / n, 1 / n, 1 / n, 1 / n, 1 / n, 1 / n, 2 / n, of(" \n"), 3.5]
+    got = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+    assert got == pytest.approx(dict(zip(quality.STATISTICS, want, strict=True)))
+    assert quality.statistics("a a b")[4] == pytest.approx(1 / 3) and quality.statistics(None) == [0.0] * 14
 
 
 def test_a_text_scores_the_same_alone_and_among_others():
@@ -354,7 +408,7 @@ def test_a_text_scores_the_same_alone_and_among_others():
     from palimpsest.llm.common import binary_of
 
     rng = np.random.default_rng(0)
-    model = langid.LanguageModel(langid.Contest(["a"]), [langid.Contest(["a"])], rng.random((langid._PAIRS + langid._TRIPLES, 2), np.float32), np.zeros(2))
+    model = langid.LanguageModel(langid.Contest(["a"]), [langid.Contest(["a"])], rng.random((2 << langid.BITS, 2), np.float32), np.zeros(2))
     texts = ["abc", "", "é", None, "x" * 3000, "the End", ""]
     together = model.margins(*binary_of(pa.array(texts)))
     old, langid._BLOCK = langid._BLOCK, 7
@@ -384,11 +438,32 @@ def test_secrets(spark, odd, rows, empty):
     features = held_out.select("label", *(c.alias("f_" + n) for n, c in zip(secrets.FEATURES, secrets.feature_columns(), strict=True)))
     right = features.select(F.expr(f"({votes}) / {len(model)}D >= 0.5").cast("int").alias("p"), "label").agg(F.avg((F.col("p") == F.col("label")).cast("double"))).head()[0]
     assert right > 0.93
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq8TfGk3Lm"
+    said = [f"AWS_SECRET_ACCESS_KEY={key}", f"the_production_access_key = \"{key}==\",", f"etag: {key} of", f"see src/{'/'.join(['widgets', 'panels', 'forms'])}/view.py", f"a{'b' * 20} c{'d' * 20} token={key}"]
+    told = secrets.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), model).where("candidate like 'wJal%' or candidate like 'src%'").collect()
+    assert {r.doc_id: (r.candidate, r.is_secret) for r in told} == {0: (key, True), 1: (key + "==", True), 2: (key, False), 3: ("src/widgets/panels/forms/view.py", False), 4: (key, True)}
+    near = {r.doc_id: r for r in secrets.candidates(spark.createDataFrame([(0, "xy " + " ".join(["k" * 17] * 9) + " end")], "doc_id long, text string")).where("start > 100").limit(1).collect()}[0]
+    assert len(near.before) == 80 and near.before.endswith("k " + "k" * 17 + " ")
+    many = "".join(f"{'x' * (16 + n % 5)}{'é' * (n % 3)} " for n in range(1500))
+    got = secrets.candidates(spark.createDataFrame([(0, many)], "doc_id long, text string")).collect()
+    assert [(r.start, r.candidate) for r in sorted(got)] == [(m.start(), m.group()) for m in re.finditer(secrets.CANDIDATE, many)]
     plan = secrets.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert secrets.scan(empty, model).count() == 0 and secrets.fit(secrets.labelled_findings(spark, 10).limit(0))[0].value == 0.5
 
 
+def test_secrets_planted_in_documents(spark):
+    """What follows "token = " there is secret, and nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_findings(spark)), path_col="source").select("doc_id", "start", "is_secret").collect()
+    planted = {(r.doc_id, m.start(1)) for r in docs.select("doc_id", "text").collect() for m in re.finditer(r"(?i)token = \"([0-9a-f]{20,})\"", r.text or "")}
+    said = {(r.doc_id, r.start) for r in found if r.is_secret}
+    assert len(planted) > 100
+    recall, precision = len(planted & said) / len(planted), len(planted & said) / len(said)
+    print(f"recall {recall:.3f}, precision {precision:.3f} of {len(found)} candidates")
+    assert recall > 0.98 and precision > 0.9
+
+
 # URLs
 
 
