@@ -20,6 +20,8 @@ from palimpsest.llm.common import cut_lineage
 
 #: Intervals that may be broadcast, a few hundred bytes each; beyond this the join deals out both sides.
 BROADCAST_INTERVALS = 100_000
+#: Names of one label (such as a top-level domain) that a list may hold for captures to be asked about only those.
+TOP_NAMES = 2_000
 
 
 def host_of(url: Column) -> Column:
@@ -66,7 +68,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id"
     if size <= broadcast_intervals:
         list_ = F.broadcast(list_)
     rows = captures.select(F.col(id_col).alias("page_id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.col(fetched_col).cast("timestamp").alias("fetched_at"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row"))
-    asked = rows.select("row", "page_id", "host", "fetched_at", F.explode_outer(lookup_keys(F.col("url"), deepest)).alias("key"))
+    keys = lookup_keys(F.col("url"), deepest)
+    if size > broadcast_intervals:  # else every capture would meet under its top-level domain, which lists hardly hold
+        tops = [r[0] for r in list_.select(F.substring_index("pattern", "/", 1).alias("host")).where("host not like '%.%'").distinct().limit(TOP_NAMES + 1).collect()]
+        if len(tops) <= TOP_NAMES:
+            keys = F.filter(keys, lambda k: F.substring_index(k, "/", 1).contains(".") | F.substring_index(k, "/", 1).isin(tops))
+    asked = rows.select("row", "page_id", "host", "fetched_at", F.explode_outer(keys).alias("key"))
+    if size > broadcast_intervals:  # captures without a key are dealt out, too
+        asked = asked.withColumn("key", F.coalesce("key", F.concat(F.lit("\u0000"), F.col("row").cast("string"))))
     active = (F.col("key") == F.col("pattern")) & (F.col("fetched_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
     judged = asked.join(list_, active, "left").groupBy("row", "page_id", "host", "fetched_at").agg(
         F.count("pattern").alias("n_entries"),
