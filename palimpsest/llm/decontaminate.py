@@ -8,7 +8,7 @@ matched go altogether.
 
 The scan is a narrow operation over the documents. The benchmark is split into automata of a bounded
 number of words, each of which is broadcast. A cut needs the matches of all of them on the same text, so
-a worker that cuts holds them all.
+one worker holds them all, some 350 bytes a word: a benchmark of more words than MOST_WORDS is refused.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from palimpsest.llm.common import text_batches, tidied
 WINDOW = 10
 #: Words of test items in one broadcast automaton: some 100 MB in a worker at most.
 AUTOMATON_WORDS = 300_000
+#: Words of test items in all automata together: some 2 GB in a worker.
+MOST_WORDS = 6_000_000
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. On UTF-8 bytes
 #: this table maps letters to lower case and every other ASCII character to a space.
@@ -153,14 +155,36 @@ class SuffixAutomaton:
         found.append([a, b])
 
 
-def automata(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> list[SuffixAutomaton]:
-    """The benchmark as automata of about ``most_words`` words each; items without id or words take no part."""
+def automata(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> Iterator[SuffixAutomaton]:
+    """The benchmark as automata of about ``most_words`` words each; items without id or words take no part.
+
+    The benchmark is read twice, once for its size: ValueError if it has more than MOST_WORDS words.
+    """
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).head()[0] or 0
+    if total > 5 * MOST_WORDS:
+        raise ValueError(f"a benchmark of {total} characters is more than workers can hold")
     shards = max(1, -(-total // (5 * most_words)))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    for shard in range(shards):
-        yield SuffixAutomaton([(r[0], words_of(r[1])) for r in rows.where(part == shard).sort("item_id", "text").collect()], window)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))).sort("shard", "item_id", "text")
+    own, at = [], 0
+    for row in dealt.toLocalIterator():
+        if row["shard"] != at and own:
+            yield SuffixAutomaton(own, window)
+            own = []
+        at = row["shard"]
+        own.append((row["item_id"], words_of(row["text"])))
+    yield SuffixAutomaton(own, window)
+
+
+def _scanned(known: list[SuffixAutomaton], words: list[bytes]) -> tuple[list[list[int]], set[int]]:
+    """Matched word intervals (disjoint, ascending) and items of all automata."""
+    each = [one.scan(words) for one in known]
+    if len(each) == 1:
+        return each[0]
+    found: list[list[int]] = []
+    for a, b in sorted(span for spans, _ in each for span in spans):
+        SuffixAutomaton._cover(found, a, b)
+    return found, set().union(*(items for _, items in each))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
@@ -171,32 +195,28 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     """
     spark = docs.sparkSession
     text_batches(spark)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("hits"), F.array().cast("array<long>").alias("item_ids"))
-    schema = out.schema
-    for one in automata(items, window=window, most_words=most_words):
-        shared = spark.sparkContext.broadcast(one)
-
-        def scanned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                counts, hits, ids = [], [], []
-                for text, before, known in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4)), strict=True):
-                    words = words_of(text)
-                    found, matched = automaton.scan(words)
-                    merged: list[list[int]] = []
-                    for a, b in sorted(found + before):
-                        SuffixAutomaton._cover(merged, a, b)
-                    counts.append(len(words))
-                    hits.append(merged)
-                    ids.append(sorted(matched.union(known)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hits", "item_ids"])
-
-        out = out.mapInArrow(tidied(scanned), schema)
-    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h[1] - h[0])
-    return out.select("doc_id", "n_words", covered.alias("n_hit"), "hits", "item_ids")
-
-
-def clean_text(text: str, *automata: SuffixAutomaton) -> tuple[str, int, int]:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_hit long, hits array<array<int>>, item_ids array<long>").fields])
+    shared = [spark.sparkContext.broadcast(one) for one in automata(items, window=window, most_words=most_words)]
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [one.value for one in shared]
+        for batch in batches:
+            counts, covered, hits, ids = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                found, matched = _scanned(known, words)
+                counts.append(len(words))
+                covered.append(sum(b - a for a, b in found))
+                hits.append(found)
+                ids.append(sorted(matched))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((counts, covered, hits, ids), kinds, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(tidied(scanned), schema)
+
+
+def clean_text(text: str, automata: list[SuffixAutomaton]) -> tuple[str, int, int]:
     """The text without spans that any automaton matches, its words, and how many of them were matched at first.
 
     What is left is scanned again until nothing matches, since a cut brings words together.
@@ -204,9 +224,7 @@ def clean_text(text: str, *automata: SuffixAutomaton) -> tuple[str, int, int]:
     raw, first = text.encode("utf-8", "surrogatepass"), None
     while True:
         words = raw.translate(_NORMAL).split()
-        found: list[list[int]] = []
-        for a, b in sorted(span for one in automata for span in one.scan(words)[0]):
-            SuffixAutomaton._cover(found, a, b)
+        found, _ = _scanned(automata, words)
         if first is None:
             first = (len(words), sum(b - a for a, b in found))
         if not found:
@@ -233,7 +251,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
         for batch in batches:
             texts, keep = [], []
             for text in batch.column(place).to_pylist():
-                new, n, hit = clean_text(text, *known) if text else (text, 0, 0)
+                new, n, hit = clean_text(text, known) if text else (text, 0, 0)
                 texts.append(new)
                 keep.append(hit <= most_coverage * n)
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
