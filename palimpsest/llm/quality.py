@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import trees
-from palimpsest.llm.common import crc_bucket, fraction_of, text_batches, tidied
+from palimpsest.llm.common import crc_bucket, fraction_of, free_name, text_batches, tidied
 
 #: Labelled documents that a fit uses at most (about; they are drawn by a hash).
 SAMPLE = 10_000
@@ -49,10 +49,10 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with one column more for each statistic."""
+    """The rows with one column more for each statistic: ``free_name(docs, _PREFIX)`` and its name."""
     text_batches(docs.sparkSession)
-    place = docs.columns.index(text_col)
-    schema = T.StructType(docs.schema.fields + [T.StructField(_PREFIX + s, T.DoubleType()) for s in STATISTICS])
+    place, prefix = docs.columns.index(text_col), free_name(docs, _PREFIX)
+    schema = T.StructType(docs.schema.fields + [T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +70,9 @@ class RuleEnsemble:
     weights: list[float]
     intercept: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str = _PREFIX) -> Column:
         """Probability of label 1, as an expression over the statistics' columns."""
-        features = [_PREFIX + s for s in STATISTICS]
+        features = [prefix + s for s in STATISTICS]
         terms = [f"if({trees.rule_sql(rule, features)}, {weight!r}D, 0D)" for rule, weight in zip(self.rules, self.weights, strict=True)]
         return F.expr(f"1 / (1 + exp(-({' + '.join([f'{self.intercept!r}D', *terms])})))")
 
@@ -112,10 +112,11 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def score(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text") -> DataFrame:
-    """The rows with ``score``, the probability of label 1; null and empty texts get a score as well."""
-    return with_statistics(docs, text_col).withColumn("score", model.column()).drop(*(_PREFIX + s for s in STATISTICS))
+    """The rows with ``score``, the probability of label 1, in the place of any column of that name; null and empty texts get a score as well."""
+    prefix = free_name(docs, _PREFIX)
+    return with_statistics(docs, text_col).withColumn("score", model.column(prefix)).drop(*(prefix + s for s in STATISTICS))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that the model does not reject, with the columns they had."""
-    return with_statistics(docs, text_col).where(model.column() >= F.lit(least)).select(*docs.columns)
+    return with_statistics(docs, text_col).where(model.column(free_name(docs, _PREFIX)) >= F.lit(least)).select(*docs.columns)
