@@ -6,8 +6,12 @@ odd product with v. Any ``radius`` bits span too little to meet every v, so for
 radius some mask misses all bits in which they differ: they collide in that table for certain.
 
 Copies collapse to one fingerprint before anything is dealt out, so buckets hold distinct fingerprints
-only; a bucket emits a spanning forest of its links, never its pairs. Large buckets are split again by
-masks of a second assignment, with the same guarantee.
+only; a bucket emits a spanning forest of its links, never its pairs. Large buckets are dealt out again by
+masks of another assignment, with the same guarantee.
+
+Texts whose word shingles have a similarity of 0.8 differ in some ten bits of 64 and often in twenty, for which
+masks would be a million tables. There bands of min-hashes say which texts meet (``keep_one``); fingerprints say
+which of them are compared first, and the shingles themselves which are linked.
 """
 
 from __future__ import annotations
@@ -20,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut_lineage, text_batches, tidied
+from palimpsest.llm.common import cut_lineage, release, text_batches, tidied
 
 RADIUS = 4
 SEED = 42
 #: Buckets beyond this many fingerprints are split by further masks before pairs are compared.
 BUCKET = 2048
+#: Seeds of the assignments of vectors to bits, the first one and those that split what is crowded.
+ASSIGNMENTS = (7, 21, 22, 23)
 #: Rows of ids that may be broadcast when documents are filtered: some 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -134,10 +140,12 @@ def _spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return kept
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect whatever is within the radius."""
-    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fingerprint").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))))
-    dealt = prints.select(F.explode(keys).alias("key"), "fingerprint").repartition("key").sortWithinPartitions("key")
+def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect whatever is within the radius.
+
+    Buckets beyond ``bucket`` fingerprints are dealt out again by masks of the next assignment. Each leaves half of
+    the bits open, so that what still shares a bucket after the last one differs in a few bits only.
+    """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -167,8 +175,22 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
-    edges = dealt.mapInArrow(tidied(linked), "a long, b long")
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows, found = prints.select("fingerprint", F.lit(0).cast("long").alias("of")), None
+    for level, seed in enumerate(ASSIGNMENTS):
+        keys = F.array(*(F.xxhash64(F.lit(t), "of", F.col("fingerprint").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius, seed))))
+        dealt = rows.select(F.explode(keys).alias("key"), "fingerprint")
+        crowded, crowds = None, 0
+        if level < len(ASSIGNMENTS) - 1:
+            crowded = cut_lineage(dealt.groupBy("key").count().where(F.col("count") > bucket).select("key"))
+            crowds = crowded.count()
+            crowded = F.broadcast(crowded) if crowds <= BROADCAST_ROWS else crowded
+        small = dealt.join(crowded, "key", "left_anti") if crowds else dealt
+        edges = small.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(linked), "a long, b long")
+        found = edges if found is None else found.union(edges)
+        if not crowds:
+            break
+        rows = cut_lineage(dealt.join(crowded, "key", "left_semi").select("fingerprint", F.col("key").alias("of")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -182,7 +204,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("b"), F.col("m").alias("a")), F.struct(F.col("u").alias("b"), F.col("m").alias("a")))).alias("e"))
         edges = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
@@ -190,6 +212,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        release(edges.sparkSession)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -202,7 +225,7 @@ def components(prints: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, Data
     each = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
     stars = connected(links(each.select("fingerprint"), radius))
     rooted = each.join(stars, each.fingerprint == stars.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    best = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # a shuffle of its own, which can be split where a component is large
     return prints, rooted.join(best, "root").select("fingerprint", "component_id")
 
 
@@ -219,99 +242,99 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 # Documents whose word shingles are similar, beyond what lies within a small radius
 
 
-#: Fingerprints of texts of similarity 0.8 differ in 5 of 32 bits on average. Each of the eight halves of four
-#: fingerprints gets masks for this many; that all eight differ in more happens to 3 in 10,000 such pairs.
-HALF_RADIUS = 5
-#: Bits of the longer fingerprint, of 256, in which candidates may differ at most.
-CANDIDATE_BITS = 60
+#: Min-hashes of a band, and bands of a text. A pair of similarity 0.8 shares no band with a chance of
+#: (1 - 0.8 ** 6) ** 40: 5 pairs in a million.
+BAND, BANDS = 6, 40
+#: Bits of the four fingerprints, of 256, in which candidates may differ, and where a text has fewer than FEW shingles.
+#: Texts of similarity 0.8 differ in 39 on average, with a standard deviation of 6.
+CANDIDATE_BITS, CANDIDATE_BITS_FEW, FEW = 68, 110, 8
 #: Candidates that each text of a bucket gives in the first round after that of the forests; eight times as many in the next.
 MOST_FIRST = 16
+#: Parts of a crowd, of BUCKET texts or CROWD_SHINGLES shingles each, up to which all its texts are compared with all.
+CROWD_PARTS, CROWD_SHINGLES = 8, 1_000_000
 #: Candidate links that one task holds while it thins them out.
 CANDIDATES = 500_000
+#: Shingles that are measured at once.
+SHINGLES = 200_000
+
+_PRINTS = ("f0", "f1", "f2", "f3")
+_TURNS = np.random.default_rng(SEED).integers(1 << 32, size=(2, BANDS, BAND), dtype=np.uint32) | np.array([0, 1], np.uint32)[:, None, None]
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BANDS keys of each of the sets of shingle hashes that begin at ``starts``; none of them is empty."""
+    short, out = (hashes >> np.uint64(32)).astype(np.uint32), np.empty((len(starts), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for salt, turn in _TURNS[:, band].T:
+            key = (key ^ np.minimum.reduceat((short ^ salt) * turn, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, band] = key
+    return out
 
 
-def _looked_up(n: int, similarity: float) -> int:
-    """How many of a text's n shingles, the smallest ones, are looked up in the corpus.
-
-    A partner lacks (1 - similarity) * n of them at most. With as many again, texts of n and m shingles share at least
-    (1 - similarity) * min(n, m) of those looked up for both, and m is similarity * n or more.
-    """
-    return min(n, n - int(np.floor(similarity * n - 1e-9)) + int(np.ceil((1 - similarity) * n)))
-
-
-def _looked(n: Column, similarity: float) -> Column:
-    """The same of a column."""
-    return F.least(n.cast("long"), n - F.floor(similarity * n - 1e-9) + F.ceil((1 - similarity) * n))
-
-
-def _least_shared(n: Column, similarity: float) -> Column:
-    """How many of the shingles looked up a text shares with any partner, at least."""
-    return F.ceil((1 - similarity) * similarity * n - 1e-9)
+def _four_prints(hashes: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Four fingerprints from one hash of each distinct shingle."""
+    mixed = [(hashes * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes >> np.uint64(7 * k + 3)) if k else hashes for k in range(4)]
+    return [_majority(h, sizes) for h in mixed]
 
 
-def _normal(text: str | None) -> int:
-    """A hash of the words."""
-    return xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b"", SEED)
+def _measured(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, text) to those without the text, a hash of its words, the number of its distinct shingles, fingerprints and bands."""
 
+    def row(ids: list[pa.Array], names: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes, hashes = [len(h) for h in sets], np.concatenate(sets)
+        full = np.flatnonzero(sizes)
+        keys = np.zeros((0, BANDS), np.uint64)
+        if len(full):
+            keys = band_keys(hashes, (np.cumsum(sizes) - sizes)[full])
+        offsets = np.concatenate([[0], np.cumsum(np.where(np.array(sizes) > 0, BANDS, 0))]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+        prints = [pa.array(f.view(np.int64)) for f in _four_prints(hashes, sizes)]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), *prints, listed], names=["doc_id", "text_hash", "w", "n", *_PRINTS, "keys"])
 
-def _basis(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) to those, a hash of the words, and the number of distinct shingles."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        keys, counts = [_normal(text) for text in texts], [len(set(shingle_hashes(text, words))) for text in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(counts, pa.int32())], names=["doc_id", "text_hash", "t", "n"])
-
-
-def _smallest(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(text) to (t, s): the hash of its words with each of the shingles to look up."""
+        names, sets, begun, held = [], [], 0, 0
+        for at, text in enumerate(batch.column(2)):
+            one = text.as_py()
+            names.append(xxhash.xxh3_128_digest(b" ".join(one.encode("utf-8", "surrogatepass").lower().split()) if one else b""))
+            sets.append(np.unique(np.array(shingle_hashes(one, words), np.uint64)))
+            held += len(sets[-1])
+            if held > SHINGLES or at + 1 == batch.num_rows:
+                yield row([batch.column(i).slice(begun, len(sets)) for i in (0, 1)], names, sets)
+                names, sets, begun, held = [], [], at + 1, 0
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(t, text) to t and the distinct shingles."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for at in range(0, len(texts), 500):
-            keys, looked = [], [np.zeros(0, np.uint64)]
-            for text in texts[at : at + 500]:
-                h = np.unique(np.array(shingle_hashes(text, words), np.uint64))
-                looked.append(h[: _looked_up(len(h), similarity)])
-                keys.append(_normal(text))
-            t = np.repeat(np.array(keys, np.uint64), [len(h) for h in looked[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.concatenate(looked).view(np.int64))], names=["t", "s"])
-
-
-def _long_prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(t, text) to t, four fingerprints from one hash of each distinct shingle, and the shingles."""
-    for batch in batches:
-        sets = [np.unique(np.array(shingle_hashes(text, words), np.uint64)) for text in batch.column(1).to_pylist()]
-        prints = []
-        for k in range(4):
-            turn = np.uint64(2 * k + 1)
-            mixed = [(h * turn * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(7 * k + 3)) if k else h for h in sets]
-            done = []
-            for at in range(0, len(mixed), 500):
-                some = mixed[at : at + 500]
-                done.append(_majority(np.concatenate(some) if some else [], [len(h) for h in some]))
-            prints.append(pa.array(np.concatenate(done).view(np.int64) if done else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *prints, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["t", "f0", "f1", "f2", "f3", "shingles"])
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            sets = [np.unique(np.array(shingle_hashes(text.as_py(), words), np.uint64)).view(np.int64) for text in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "shingles"])
 
 
-def _wide_masks() -> list[int]:
-    """Masks of either half of 64 bits; any HALF_RADIUS bits of a half lie outside one of its masks."""
-    return [m for half in (range(32), range(32, 64)) for m in covering_masks(HALF_RADIUS, seed=30, bits=half)]
+def _bits(f: np.ndarray, g: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """In how many bits rows of fingerprints differ, of texts of n and m shingles; 1 << 15 for what is no candidate."""
+    bits = np.bitwise_count(f ^ g).sum(axis=-1, dtype=np.int64)
+    return np.where(bits <= np.where(np.minimum(n, m) < FEW, CANDIDATE_BITS_FEW, CANDIDATE_BITS), bits, 1 << 15)
 
 
-def _nearest_first(f: np.ndarray) -> list[tuple[int, int, int]]:
+def _nearest_first(f: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int]]:
     """A minimum spanning forest of the candidates among rows of fingerprints: (row, row, bits), by Prim's algorithm."""
     n = len(f)
     best, parent, open_ = np.full(n, 1 << 16), np.zeros(n, np.int64), np.ones(n, bool)
     out, at = [], 0
     for _ in range(n):
         open_[at] = False
-        bits = np.bitwise_count(f ^ f[at]).sum(axis=1, dtype=np.int64)
+        bits = _bits(f, f[at], size, size[at])
         closer = open_ & (bits < best)
         best[closer], parent[closer] = bits[closer], at
         left = np.flatnonzero(open_)
         if not len(left):
             break
         at = int(left[best[left].argmin()])
-        if best[at] <= CANDIDATE_BITS:
+        if best[at] < 1 << 15:
             out.append((int(parent[at]), at, int(best[at])))
     return out
 
@@ -331,35 +354,33 @@ def _links_of(rows: list[tuple[list[int], list[int], list[int]]]) -> Iterator[pa
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, t, f0..f3), sorted by key, to candidate links (a, b, w): a thinned forest of all buckets of the task."""
+    """(key, t, n, f0..f3), sorted by key, to candidate links (a, b, w): a thinned forest of all buckets of the task."""
     rows: list[tuple[list[int], list[int], list[int]]] = []
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 7
     size = 0
 
-    def bucket(t: np.ndarray, f: np.ndarray, whole: bool = True) -> None:
+    def add(t: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> None:
         nonlocal size
-        if len(t) > BUCKET and whole:  # split by the masks once more, now of all bits
-            for k, mask in ((k, m) for k in range(4) for m in _wide_masks()):
-                key = f[:, k] & np.uint64(mask)
-                order = np.argsort(key, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                    if len(part) > 1:
-                        bucket(t[part], f[part], whole=False)
-            return
-        found = _nearest_first(f)
-        if found:
-            i, j, w = zip(*found, strict=True)
-            low, high = np.minimum(t[list(i)], t[list(j)]), np.maximum(t[list(i)], t[list(j)])
-            rows.append((low.tolist(), high.tolist(), list(w)))
-            size += len(found)
+        low, high = np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
+        rows.append((low.tolist(), high.tolist(), w.tolist()))
+        size += len(low)
 
     def buckets(columns: list[np.ndarray]) -> None:
-        key, t = columns[0], columns[1]
-        f = np.stack(columns[2:], axis=1).view(np.uint64) if len(key) else None
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
+        key, t, n = columns[:3]
+        if len(key) < 2:
+            return
+        f = np.stack(columns[3:], axis=1).view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         sizes = np.diff(starts)
-        for at, n in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            bucket(t[at : at + n], f[at : at + n])
+        two = starts[:-1][sizes == 2]
+        bits = _bits(f[two], f[two + 1], n[two], n[two + 1])
+        near = bits < 1 << 15
+        add(t, two[near], two[near] + 1, bits[near])
+        for at, many in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            found = _nearest_first(f[at : at + many], n[at : at + many])
+            if found:
+                i, j, w = np.array(found).T
+                add(t[at : at + many], i, j, w)
 
     for batch in batches:
         columns = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
@@ -383,55 +404,114 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(key, t, root, n, f0..f3), sorted by key, to candidates (a, b) of different roots; nulls where there are more.
+    """(key, part, asks, t, root, n, f0..f3), sorted by the first three, to candidates (a, b) of different roots; nulls where there are more.
 
-    In each bucket each row outside the most frequent root gives its ``most`` nearest ones, whatever else is in the task.
-    Sizes that rule the similarity out are left out.
+    Each row that asks gives its ``most`` nearest ones among those of its bucket that do not. Sizes that rule the
+    similarity out are left out.
     """
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 8
-
-    def bucket(t: np.ndarray, root: np.ndarray, n: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        names, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return t[:0], t[:0], False
-        asks, left, right, more = np.flatnonzero(which != sizes.argmax()), [], [], False
-        for at in range(0, len(asks), 256):
-            i = asks[at : at + 256]
-            bits = np.bitwise_count(f[i, None] ^ f[None]).sum(axis=2, dtype=np.int64)
-            ok = (bits <= CANDIDATE_BITS) & (which[i, None] != which[None]) & (np.minimum(n[i, None], n[None]) >= similarity * np.maximum(n[i, None], n[None]) - 1e-9)
-            if ok.sum(axis=1).max() > most:
+    here, held = None, [np.zeros(0, np.int64)] * 7
+
+    def asked(rows: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+        f, own, found, more = np.stack(held[3:], axis=1).view(np.uint64), held[2], [], False
+        for at in range(0, len(rows[0]), 256):
+            t, root, n, *prints = (c[at : at + 256] for c in rows)
+            bits = _bits(np.stack(prints, axis=1).view(np.uint64)[:, None], f[None], n[:, None], own[None])
+            small, large = np.minimum(n[:, None], own[None]), np.maximum(n[:, None], own[None])
+            ok = (bits < 1 << 15) & (root[:, None] != held[1][None]) & (small >= similarity * large - 1e-9)
+            if ok.sum(axis=1).max(initial=0) > most:
                 more = True
-                place = np.where(ok, bits * len(t) + np.arange(len(t)), 1 << 60)
+                place = np.where(ok, bits * len(own) + np.arange(len(own)), 1 << 60)
                 ok &= place <= np.partition(place, most - 1, axis=1)[:, most - 1 : most]
             x, y = np.nonzero(ok)
-            left.append(t[i[x]])
-            right.append(t[y])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return np.minimum(a, b), np.maximum(a, b), more
+            found.append(np.stack([np.minimum(t[x], held[0][y]), np.maximum(t[x], held[0][y])], axis=1))
+        return np.unique(np.concatenate(found), axis=0), more
 
-    def buckets(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key = columns[0]
-        if len(key) < 2:
-            return
-        f = np.stack(columns[4:], axis=1).view(np.uint64)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        sizes = np.diff(starts)
-        for at, size in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            a, b, more = bucket(*(c[at : at + size] for c in columns[1:4]), f[at : at + size])
-            if len(a):
-                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+    for batch in batches:
+        key, part, asks, *rows = (c.to_numpy() for c in batch.columns)
+        edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+            if a == b:
+                continue
+            if here != (key[a], part[a]):
+                here, held = (key[a], part[a]), [c[:0] for c in rows]
+            if not asks[a]:
+                held = [np.concatenate([h, c[a:b]]) for h, c in zip(held, rows, strict=True)]
+            elif len(held[0]):
+                pairs, more = asked([c[a:b] for c in rows])
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+
+
+def _within(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(crowd, part, asks, t, root, shingles), sorted by the first three, to links (a, b) of different roots.
+
+    Each row that asks is compared with those of its part that do not, and gives one link to each root that it is similar
+    to. Of any n - similarity * n + 1 of its n shingles a partner has one: its rarest ones say who is looked at.
+    """
+    here: tuple | None = None
+    t, root, sets = [], [], []
+    index: tuple[np.ndarray, ...] | None = None
+
+    def postings(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(index[0], shingles, "left"), np.searchsorted(index[0], shingles, "right")
+
+    def owners(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        long = high - low
+        return index[1][np.repeat(low - np.cumsum(long) + long, long) + np.arange(long.sum())]
+
+    def partners(own: int, shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        low, high = postings(shingles)
+        few = np.argsort(high - low, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        seen = np.unique(owners(low[few], high[few]))
+        fits = (index[3][seen] != own) & (np.minimum(index[4][seen], n) >= similarity * np.maximum(index[4][seen], n) - 1e-9)
+        if not fits.any():
+            return seen[:0]
+        both = np.bincount(owners(low, high), minlength=len(index[2]))[seen]
+        seen = seen[fits & (both >= similarity * (index[4][seen] + n - both) - 1e-9)]
+        return seen[np.unique(index[3][seen], return_index=True)[1]]
 
     for batch in batches:
-        columns = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-        if not len(columns[0]):
-            continue
-        last = int(np.searchsorted(columns[0], columns[0][-1]))
-        yield from buckets([c[:last] for c in columns])
-        held = [c[last:] for c in columns]
-    yield from buckets(held)
+        crowd, part, asks, ids, roots = (batch.column(i).to_numpy() for i in range(5))
+        lists = batch.column(5)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        links: list[np.ndarray] = []
+        for i in range(len(crowd)):
+            own = values[offsets[i] : offsets[i + 1]]
+            if here != (crowd[i], part[i]):
+                here, t, root, sets, index = (crowd[i], part[i]), [], [], [], None
+            if not asks[i]:
+                t.append(ids[i])
+                root.append(roots[i])
+                sets.append(own.copy())
+            elif t:
+                if index is None:
+                    sizes = np.array([len(x) for x in sets])
+                    every = np.concatenate(sets)
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], np.repeat(np.arange(len(sets)), sizes)[order], np.array(t), np.array(root), sizes
+                found = index[2][partners(roots[i], own)]
+                links.append(np.stack([np.minimum(found, ids[i]), np.maximum(found, ids[i])], axis=1))
+        pairs = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _asked(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """Rows (by, main, parts, t, root, ...) dealt over the parts of each group, with those outside its main root as asking in every part."""
+    own = F.pmod(F.xxhash64("t", by), F.col("parts"))
+    read = rows.select(by, own.alias("part"), F.lit(0).alias("asks"), "t", "root", *columns)
+    asks = rows.where("root <> main").select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "t", "root", *columns)
+    return read.union(asks).repartition(by, "part").sortWithinPartitions(by, "part", "asks")
+
+
+def _groups(rows: DataFrame, by: str, shingles: bool = False) -> DataFrame:
+    """(by, main, parts) of rows (by, root, n): of each group with several roots the most frequent one, and over how many parts it is dealt."""
+    counted = rows.groupBy(by, "root").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    counted = counted.groupBy(by).agg(F.sum("count").alias("size"), F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("main"))
+    parts = F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.col("n") / CROWD_SHINGLES) if shingles else F.lit(1)).cast("long")
+    return cut_lineage(counted.where("roots > 1").select(by, "main", parts.alias("parts")))
 
 
 def _pick(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -440,56 +520,88 @@ def _pick(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str
     return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
 
 
+def _rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(t, key): of each row (t, crowd) its shingles that are rarest in the crowd and not its own alone.
+
+    Of n shingles a partner has similarity * n at least: so one of any other n - similarity * n + 1, and if these are the
+    first ones by an order that both texts follow, it is among the partner's first ones as well.
+    """
+    each = rows.join(sets, "t").select("t", F.explode("shingles").alias("s"), F.size("shingles").alias("n"), "crowd").select("t", "n", F.xxhash64("crowd", "s").alias("key"))
+    known = cut_lineage(each.groupBy("key").count().where("count > 1"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "key")))
+    found = each.join(known, "key", "left").groupBy("t", "n").agg(ordered.alias("all")).select("t", F.explode(F.slice("all", 1, (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))).alias("one"))
+    return cut_lineage(found.where("one.count > 1").select("t", F.col("one.key").alias("key")))
+
+
 def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of texts that connect whatever has a Jaccard similarity of ``similarity`` or more.
 
-    texts: (t, winner, n), a row for each different text. 1. A text all but alone with its shingles
-    has no partner: its smallest shingles are looked up among those of the corpus, and texts of which fewer
-    occur elsewhere than a partner would share are done with. 2. The others get four fingerprints. Covering masks
-    guarantee that a pair collides if any half of any of them differs in HALF_RADIUS bits or fewer. Buckets
-    give minimum spanning forests by the distance of all four.
-    3. The links of these are checked by the exact similarity, then other candidates between what is still apart,
-    until every candidate is checked or joins nothing.
+    texts: (t, winner, n, f0..f3, keys), a row for each different text. 1. Texts that share a band meet in a bucket,
+    which gives a minimum spanning forest by the distance of the fingerprints. Buckets beyond BUCKET texts are dealt over
+    parts. 2. The links of these are checked by the exact similarity. What the forest joins is a crowd.
+    3. A crowd that is still in pieces is dealt over parts of BUCKET texts, and what lies outside its largest piece is
+    compared with each part. 4. In crowds of more than CROWD_PARTS parts texts meet by each of their rarest shingles in
+    the crowd: so many that two texts of the similarity share one. Candidates are checked, the nearest of each text first
+    and more in each round, until every one is checked or joins nothing; places where more than BUCKET texts meet are
+    dealt over parts as well.
     """
+    size = F.col("n").cast("long").alias("n")
+    banded = texts.select(F.explode("keys").alias("key"), "t", size, *_PRINTS)
+    crowded = cut_lineage(banded.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).alias("parts")))
+    crowds = crowded.count()
+    hubs = None
+    if crowds:
+        crowded = F.broadcast(crowded) if crowds <= BROADCAST_ROWS else crowded
+        part = F.xxhash64("key", F.pmod(F.xxhash64("t", "key"), F.col("parts")))
+        hot = banded.select("key", "t").join(crowded, "key").select("key", "t")
+        hub = hot.groupBy("key").agg(F.min("t").alias("a"))
+        hubs = hot.join(F.broadcast(hub) if crowds <= BROADCAST_ROWS else hub, "key").where("a < t").select("a", F.col("t").alias("b")).distinct()
+        banded = banded.join(crowded, "key", "left").select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(part).alias("key"), "t", "n", *_PRINTS)
+    dealt = banded.repartition("key").sortWithinPartitions("key", "t")
+    found = cut_lineage(dealt.mapInArrow(tidied(_compared), "a long, b long, w int").groupBy("a", "b").agg(F.min("w").alias("w")))
+    parts = max(1, -(-found.count() // CANDIDATES))
+    forest = cut_lineage(found.repartition(parts, "a", "b").mapInArrow(tidied(_thin), "a long, b long, w int").select("a", "b"))
+    near = connected(forest if hubs is None else forest.union(hubs))
+    crowd = near.select(F.col("node").alias("t"), F.col("root").alias("crowd"))
+    crowd = crowd.union(crowd.select("crowd", "crowd").distinct())  # a root is no node of its own star
+    crowd = cut_lineage(texts.join(crowd, "t").select("t", "crowd", size, F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
+
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    looked = narrow.select("text").mapInArrow(tidied(lambda b: _smallest(b, words, similarity)), "t long, s long")
-    alone = looked.groupBy("s").agg(F.min("t").alias("t"), F.max("t").alias("other")).where("t = other").groupBy("t").count()
-    counted = texts.select("t", "winner", "n").join(alone, "t", "left")
-    most_alone = _looked(F.col("n"), similarity) - _least_shared(F.col("n"), similarity)
-    social = counted.where(F.coalesce("count", F.lit(0)) <= most_alone)
-    chosen = cut_lineage(social.select("t", F.col("winner.doc_id").alias("_id"), F.col("winner.text_hash").alias("_hash")))
-    rows = _pick(narrow, chosen, "doc_id", "text", "inner").select("t", "text")
-    long_ = cut_lineage(rows.mapInArrow(tidied(lambda b: _long_prints(b, words)), "t long, f0 long, f1 long, f2 long, f3 long, shingles array<long>").dropDuplicates(["t"]))
-
-    keys = F.array(*(F.xxhash64(F.lit(1000 * k + i), F.col(f"f{k}").bitwiseAND(F.lit(_signed(m)))) for k in range(4) for i, m in enumerate(_wide_masks())))
-    deal = lambda rows, *more: rows.select(F.explode(keys).alias("key"), "t", *more, "f0", "f1", "f2", "f3").repartition("key").sortWithinPartitions("key", "t")
-    dealt = deal(long_)
-    found = dealt.mapInArrow(tidied(_compared), "a long, b long, w int").groupBy("a", "b").agg(F.min("w").alias("w"))
-    found = cut_lineage(found)
-
-    def thinned(candidates: DataFrame) -> DataFrame:
-        parts = max(1, -(-candidates.count() // CANDIDATES))
-        return cut_lineage(candidates.repartition(parts, "a", "b").mapInArrow(tidied(_thin), "a long, b long, w int"))
+    chosen = crowd.select("t", "_id", "_hash")
+    sets = _pick(narrow, chosen, "doc_id", "text", "inner").select("t", "text").mapInArrow(tidied(lambda b: _shingled(b, words)), "t long, shingles array<long>")
+    sets = cut_lineage(sets.dropDuplicates(["t"]))
 
     def similar(candidates: DataFrame) -> DataFrame:
-        one, other = (long_.select(F.col("t").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
+        one, other = (sets.select(F.col("t").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
         joined = candidates.join(one, "a").join(other, "b")
         return cut_lineage(joined.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
-    forest = thinned(found)
+    def apart(linked: DataFrame) -> DataFrame:
+        """(t, crowd, n, root) of crowds of several roots."""
+        each = crowd.join(connected(linked).withColumnRenamed("node", "t"), "t", "left").select("t", "crowd", "n", F.coalesce("root", "t").alias("root"))
+        open_ = each.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("crowd")
+        return cut_lineage(each.join(open_, "crowd").select("t", "crowd", "n", "root"))
+
+    def met(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+        return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, by)
+
     linked = similar(forest)
-    # Where links of the forest were none, candidates of the buckets between what they would have joined are checked,
-    # more of each text in each round, until none is left that would join two components.
-    crowd = connected(found).select(F.col("node").alias("t"), F.col("root").alias("crowd"))
-    checked, most = forest.select("a", "b"), MOST_FIRST
+    rows = apart(linked)
+    groups = _groups(rows, "crowd", shingles=True)
+    inner = _asked(met(rows, groups.where(F.col("parts") <= CROWD_PARTS), "crowd").join(sets, "t"), "crowd", "shingles")
+    linked = cut_lineage(linked.union(inner.mapInArrow(tidied(lambda b: _within(b, similarity)), "a long, b long")).distinct())
+    large = groups.where(F.col("parts") > CROWD_PARTS).select("crowd")
+    if not large.limit(1).count():
+        return linked
+    checked, most, rare = forest, MOST_FIRST, None
     while True:
-        each = crowd.join(connected(linked).withColumnRenamed("node", "t"), "t", "left").select("t", "crowd", F.coalesce("root", "t").alias("root"))
-        open_ = each.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("crowd")
-        rows = cut_lineage(each.join(open_, "crowd").select("t", "root"))
+        rows = apart(linked).join(large, "crowd")
         if not rows.limit(1).count():
             return linked
-        dealt = deal(long_.join(rows, "t").withColumn("n", F.size("shingles").cast("long")), "root", "n")
+        rare = _rarest(rows, sets, similarity) if rare is None else rare
+        members = rows.select("t", "root", "n").join(rare, "t").join(texts.select("t", *_PRINTS), "t")
+        dealt = _asked(met(members, _groups(members, "key"), "key"), "key", "n", *_PRINTS)
         found = cut_lineage(dealt.mapInArrow(tidied(lambda b, most=most: _crossing(b, most, similarity)), "a long, b long").distinct())
         new = cut_lineage(found.where("a is not null").join(checked, ["a", "b"], "left_anti"))
         more = found.where("a is null").limit(1).count()
@@ -505,16 +617,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The documents, one of each group of near-duplicates: that with the smallest id (null ids first), in full.
 
     Near-duplicates share ``similarity`` of their runs of ``words`` words (distinct ones, A-Z lower-cased) or are
-    connected by others that do. Texts with the same words are one text; those without any, null or not, as well.
+    connected by others that do. Texts with the same words (by a hash of 128 bits) are one text; those without any,
+    null or not, as well.
     """
     text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    prints = cut_lineage(source.mapInArrow(tidied(lambda b: _basis(b, words)), "doc_id long, text_hash long, t long, n int"))
-    texts = cut_lineage(prints.groupBy("t").agg(F.min(F.struct("doc_id", "text_hash")).alias("winner"), F.first("n").alias("n")))
+    prints = cut_lineage(source.mapInArrow(tidied(lambda b: _measured(b, words)), "doc_id long, text_hash long, w binary, n int, f0 long, f1 long, f2 long, f3 long, keys array<long>"))
+    texts = prints.groupBy("w").agg(F.min(F.struct("doc_id", "text_hash")).alias("winner"), F.first(F.struct("n", *_PRINTS, "keys")).alias("m"))
+    texts = cut_lineage(texts.select(F.monotonically_increasing_id().alias("t"), "w", "winner", "m.*"))
     stars = connected(similar_links(docs, texts, id_col=id_col, text_col=text_col, words=words, similarity=similarity))
-    rooted = texts.join(stars, texts.t == stars.node, "left").select("t", "winner", F.coalesce("root", "t").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("winner").alias("best"))
-    rows = prints.select("doc_id", "text_hash", "t").join(rooted.join(best, "root").select("t", "best"), "t")
+    rooted = texts.join(stars, texts.t == stars.node, "left").select("w", "winner", F.coalesce("root", "t").alias("root"))
+    best = cut_lineage(rooted.groupBy("root").agg(F.min("winner").alias("best")))
+    rows = prints.select("doc_id", "text_hash", "w").join(rooted.join(best, "root").select("w", "best"), "w")
     wins: Column = F.struct("doc_id", "text_hash").eqNullSafe(F.col("best"))
     lost = cut_lineage(rows.where(~wins).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     twice = rows.where(wins).groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()

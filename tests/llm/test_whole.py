@@ -29,21 +29,59 @@ def test_near_dedup_finds_a_truncated_copy_whatever_its_shingles_hash_to(spark):
     assert sorted(r.doc_id for r in left) == [i for i, _ in pairs[::2]]
 
 
-def test_partners_share_as_many_of_their_smallest_shingles_as_asked_for(spark):
+def test_similar_sets_share_bands_as_often_as_their_similarity_says():
     rng = np.random.default_rng(3)
-    ns = np.arange(0, 2200)
-    n = simhash.F.col("n")
-    asked, looked = zip(*spark.createDataFrame([(int(i),) for i in ns], "n int").select(simhash._least_shared(n, 0.8), simhash._looked(n, 0.8)).collect(), strict=True)
-    assert list(looked) == [simhash._looked_up(int(i), 0.8) for i in ns]
-    for _ in range(3000):
-        n = int(rng.integers(1, 400))
-        a = rng.choice(10**6, n, replace=False)
-        gone = int(rng.integers(0, n // 5 + 1))
-        more = int(rng.integers(0, n - gone - 4 * n // 5 + 1)) if n - gone > 4 * n // 5 else 0
-        b = np.concatenate([a[: n - gone], 10**6 + rng.choice(10**6, more, replace=False) - int(rng.integers(0, 2)) * 2 * 10**6])
-        if _similar(set(a.tolist()), set(b.tolist())):
-            low = [set(np.sort(x)[: simhash._looked_up(len(x), 0.8)].tolist()) for x in (a, b)]
-            assert len(low[0] & low[1]) >= max(asked[n], asked[len(b)])
+    for n, kept, similarity in ((200, 160, 0.8), (100, 85, 0.85), (50, 45, 0.9)):  # the second set lies within the first
+        sets = []
+        for _ in range(1500):
+            a = rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2)
+            sets += [a, a[:kept]]
+        sizes = np.array([len(x) for x in sets])
+        keys = simhash.band_keys(np.concatenate(sets), np.cumsum(sizes) - sizes)
+        same = keys[::2] == keys[1::2]
+        assert abs(same.mean() - similarity**simhash.BAND) < 0.01 and same.any(axis=1).all()
+
+
+@pytest.mark.parametrize("bucket", [2048, 30])
+def test_near_dedup_does_not_depend_on_how_buckets_are_dealt(spark, monkeypatch, bucket):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for n in range(260):
+        copy = list(base)
+        for at in rng.sample(range(120), 1 if n % 2 else 3):
+            copy[at] = f"w{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    reached: set[int] = set()
+    want = []
+    for i in range(len(texts)):
+        if i not in reached:
+            want.append(i)
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in reached:
+                    reached.add(x)
+                    todo += [y for y in range(len(texts)) if y not in reached and _similar(sets[x], sets[y])]
+    left = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert 1 < len(want) < 200 and sorted(r.doc_id for r in left) == want
+
+
+def test_links_of_crowds_are_found_by_further_masks(spark):
+    rng = random.Random(4)
+    prints = {sum(1 << k for k in rng.sample(range(64), rng.randint(0, 7))) for _ in range(400)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
+    groups = []
+    for bucket in (2048, 12):
+        stars = {r.node: r.root for r in simhash.connected(simhash.links(df, bucket=bucket)).collect()}
+        of = {}
+        for p in prints:
+            of.setdefault(stars.get(signed(p), signed(p)), set()).add(p)
+        groups.append({frozenset(g) for g in of.values()})
+    assert groups[0] == groups[1] and len(groups[0]) > 1
 
 
 def test_near_dedup_of_crowds_is_that_of_brute_force(spark):
@@ -112,7 +150,7 @@ def test_pipeline_takes_shared_lines_from_texts_that_they_dominate(spark, broadc
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     want = {n: f"own {n}" for n in range(12)} | {20: f"{menu}\n\n{menu}", 21: None}
     bad = linedup.boilerplate(docs)
-    assert {r.doc_id: r.text for r in linedup.remove_lines(docs, bad, broadcast_lines=broadcast_lines, spare_half=False).collect()} == want
+    assert {r.doc_id: r.text for r in linedup.remove_lines(docs, bad, broadcast_lines=broadcast_lines).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
 
 
