@@ -20,7 +20,7 @@ def public_tokenizer() -> tuple[str, str, str]:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret candidate of documents with the forest's score; texts leave as digests."""
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)))
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark)), path_col="source")
     return found.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
@@ -77,7 +77,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = f"""
 with entries(pattern, category, action, dated) as (values {", ".join(repr(e) for e in URL_LIST)}),
 known as (
-    select lower(split_part(pattern, '/', 1)) as host, case when contains(pattern, '/') then '/' || split_part(pattern, '/', 2) else '' end as path, category, cast(dated as timestamp) as since, max(action) as action
+    select lower(split_part(pattern, '/', 1)) as host, rtrim(regexp_extract(pattern, '/.*$'), '/') as path, category, cast(dated as timestamp) as since, max(action) as action
     from entries group by all),
 active as (
     select host, path, category, since, until from (select *, lead(since) over (partition by host, path, category order by since) as until from known) where action = 'add'),
@@ -98,11 +98,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines that occur on at least ten sites: how many lines it had and lost, and what is left."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.size(F.split("text", "\n", -1)).alias("had"))
+    """Every document without lines that occur on at least ten sites: how many lines it had and lost, and what is left.
+
+    nearly_empty marks those of which less than half is left, in characters.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.size(F.split("text", "\n", -1)).alias("had"), F.length("text").alias("long"))
     kept = linedup.strip_boilerplate(docs)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("had")).cast("long")
-    return kept.select("doc_id", lines.alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.select(
+        "doc_id", lines.alias("n_lines"), F.col("_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"),
+        (F.coalesce(2 * F.length("text") < F.col("long"), F.lit(False))).alias("nearly_empty"),
+    )
 
 
 OP8_SQL = """
@@ -114,13 +120,12 @@ shared as (
 marked as (
     select doc_id, lines.line, place, shared.line is not null as bad from lines left join shared on lines.line = shared.line),
 judged as (
-    select doc_id, count(*) as n_lines, count(*) filter (bad) as n_bad,
-        coalesce(sum(length(line)) filter (bad), 0) > 0 and 2 * coalesce(sum(length(line)) filter (bad), 0) <= sum(length(line)) as cut
+    select doc_id, count(*) as n_lines, count(*) filter (bad) as n_bad, count(*) filter (bad) > 0 and count(*) filter (not bad and line <> '') > 0 as cut
     from marked group by doc_id),
 kept as (
     select doc_id, string_agg(line, chr(10) order by place) as text from marked join judged using (doc_id) where not (cut and bad) group by doc_id)
 select documents.doc_id, coalesce(n_lines, 0) as n_lines, case when cut then n_bad else 0 end as n_removed,
-    length(kept.text) as n_chars_kept, sha256(kept.text) as kept_sha256
+    length(kept.text) as n_chars_kept, sha256(kept.text) as kept_sha256, coalesce(2 * length(kept.text) < length(documents.text), false) as nearly_empty
 from documents left join judged using (doc_id) left join kept using (doc_id)
 """
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import binary_of, cut_lineage, text_batches, tidied
+from palimpsest.llm.common import binary_of, cut_lineage, text_batches, tidied, written
 from palimpsest.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -221,10 +221,17 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(text, wanted, doc_id) to the wanted segments' bytes; those of hot anchors are filed under a second one."""
+    """(text, wanted, h, n, doc_id) to the wanted segments' bytes; those of hot anchors are filed under a second one.
+
+    Copies of a text follow one another after the join, and one of them is enough.
+    """
+    sent = None
     for batch in batches:
         out: list[tuple] = []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, wanted, *same in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if same == sent:
+                continue
+            sent = same
             raw = text.encode("utf-8", "surrogatepass")
             for w in wanted:
                 data = raw[w["beg"] : w["beg"] + w["size"]]
@@ -246,7 +253,7 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, hot: int = HOT) ->
     that one exchange serves both.
     """
     texts = rows.select("h", "n", "text").where(F.col("n") >= length)
-    found = texts.mapInArrow(tidied(lambda b: _segments(b, length)), "key long, seg long, h long, n int, begs array<int>, size int")
+    found = written(texts.mapInArrow(tidied(lambda b: _segments(b, length)), "key long, seg long, h long, n int, begs array<int>, size int"))  # read twice
     anchors = found.groupBy("key").agg(F.sum(F.size("begs")).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("c > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
     dup = cut_lineage(found.join(anchors, "key").groupBy("key", "seg", "h", "n", "begs", "size", "differ").agg(F.sum(F.size("begs")).alias("times")))
 
@@ -254,7 +261,7 @@ def repeated_spans(rows: DataFrame, *, length: int = LENGTH, hot: int = HOT) ->
     crowded = each.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("hot"))
     each = each.join(crowded, "key", "left").select("at.h", "at.n", F.struct("key", "seg", "at.beg", "at.size", "times", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = each.groupBy("h", "n").agg(F.collect_list("w").alias("wanted"))
-    fetched = rows.join(wanted, ["h", "n"]).select("text", "wanted", "doc_id").mapInArrow(tidied(lambda b: _fetched(b, length)), "route long, key long, seg long, shift int, times long, bytes binary")
+    fetched = rows.join(wanted, ["h", "n"]).select("text", "wanted", "h", "n", "doc_id").mapInArrow(tidied(lambda b: _fetched(b, length)), "route long, key long, seg long, shift int, times long, bytes binary")
     dealt = fetched.repartition("route").sortWithinPartitions("route")
     decided = dealt.mapInArrow(tidied(lambda b: _shards(b, length)), _FOUND).groupBy("key", "seg").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
