@@ -12,11 +12,14 @@ inner product. Scores are exact, of the original vectors in double precision.
 
 Lists beyond ``list_cap`` rows are dealt over several parts, each of which every query of the list reads:
 no list, and no crowd of equal vectors, ends in one task.
+
+A query whose lists hold too few candidates asks again: first the nearest lists that together hold enough rows,
+then, if their rows were of too few ids, all lists. So a query gets fewer than it wants only if there are fewer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,8 @@ MOST_LISTS = 2_048
 REPLICAS = 4
 FILE_RATIO = 1.3
 SEARCH_RATIO = 1.12
+#: A query that asks again reads its nearest lists until they hold as many rows as so many lists of usual size.
+WIDER = 10
 NEIGHBOURS = 20
 
 
@@ -142,6 +147,14 @@ def fit_centroids(x: np.ndarray, lists: int, longest: float, seed: int = 0, roun
     return Centroids(points, graph, entry, longest, usual)
 
 
+def _inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed from the first component to the last: equal vectors score alike wherever they lie."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), 8192):
+        out[at : at + 8192] = np.ascontiguousarray((x[at : at + 8192] * y[at : at + 8192]).T).sum(axis=0)
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1).astype(np.float64)
@@ -156,6 +169,7 @@ def search(
     Candidates are all rows but those with the query's own id. Vectors that are null, zero or hold null or
     non-finite components take no part, nor do null ids, nor vectors of another dimension than most have.
     Rows with one id count as one candidate (with the best score) and one query. Ties go to the smaller id.
+    Runs at once: the rows found are checkpointed, to see which queries have to ask again.
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("_query", F.coalesce(is_query, F.lit(False)))
@@ -171,25 +185,29 @@ def search(
     index = fit_centroids(_matrix(drawn) if len(drawn) else np.ones((1, dimension)), lists, longest)
     shared = spark.sparkContext.broadcast(index)
 
-    def filed(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
+    def filed(batches: Iterator[pa.RecordBatch], lists_of: Callable[[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = _matrix(batch.column(1))
-            long = shared.value.lengthened(x, query)
-            found = shared.value.near(long, search_ratio) if query else shared.value.file_under(long, replicas, file_ratio)
+            found = lists_of(x)
             which = np.repeat(np.arange(len(x)), [len(f) for f in found])
+            home = np.concatenate([np.arange(len(f)) == 0 for f in found])
             data = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(which))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(which)), data], names=["list", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(which)), data, pa.array(home)], names=["list", "vec_id", "v", "home"])
+
+    def posting(x: np.ndarray) -> list[np.ndarray]:
+        return shared.value.file_under(shared.value.lengthened(x, query=False), replicas, file_ratio)
 
-    schema = "list int, vec_id long, v binary"
-    postings = rows.select("vec_id", "v").distinct().mapInArrow(tidied(lambda b: filed(b, False)), schema)
-    asked = rows.where("_query").select("vec_id", "v").distinct().mapInArrow(tidied(lambda b: filed(b, True)), schema)
-    parts = cut_lineage(postings.groupBy("list").agg(F.ceil(F.count("*") / list_cap).cast("int").alias("parts")))
-    cut = F.broadcast(parts)  # a row for each centroid: MOST_LISTS at most
+    def within_ratio(x: np.ndarray) -> list[np.ndarray]:
+        return shared.value.near(shared.value.lengthened(x, query=True), search_ratio)
+
+    schema = "list int, vec_id long, v binary, home boolean"
+    postings = rows.select("vec_id", "v").distinct().mapInArrow(tidied(lambda b: filed(b, posting)), schema)
+    askers = rows.where("_query").select("vec_id", "v").distinct()
+    parts = cut_lineage(postings.groupBy("list").agg(F.ceil(F.count("*") / list_cap).cast("int").alias("parts"), F.count_if("home").alias("homes")))
+    cut = F.broadcast(parts.select("list", "parts"))  # a row for each centroid: MOST_LISTS at most
     dealt = postings.join(cut, "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
-    asking = asked.join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "vec_id", "v")
-    together = dealt.union(asking).repartition("list", "part").sortWithinPartitions("list", "part", "asks")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -241,9 +259,16 @@ def search(
                     score[who[:, None] == posted[0][None, :]] = -np.inf
                     k = min(neighbours + 8, score.shape[1])
                     top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(k), score.shape)
-                    cutoff = np.take_along_axis(score, top, 1).min(axis=1)
+                    asker = x[lo : lo + 256]
+                    slack = 4 * dimension * np.finfo(float).eps * longest * np.linalg.norm(asker, axis=1)  # matrix products round by block
+                    cutoff = np.take_along_axis(score, top, 1).min(axis=1) - slack
                     row, col = np.nonzero((score >= cutoff[:, None]) & (score > -np.inf))  # ties with the last one too
-                    best.append((who[row], posted[0][col], score[row, col]))
+                    begin, end = posted[2][col], np.append(posted[2][1:], len(posted[1]))[col]
+                    exact = np.full(len(row), -np.inf)
+                    for step in range(int((end - begin).max(initial=0))):  # an id's rows, mostly one
+                        has = np.flatnonzero(begin + step < end)
+                        exact[has] = np.maximum(exact[has], _inner(asker[row[has]], posted[1][begin[has] + step]))
+                    best.append((who[row], posted[0][col], exact))
                     held += len(row)
                 if held > 1_000_000:
                     best = shrunk()
@@ -253,7 +278,41 @@ def search(
                         best, held = [], 0
         yield from flush()
 
-    found = together.mapInArrow(tidied(compared), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", place.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+
+    def answered(who: DataFrame, lists_of: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+        asked = who.mapInArrow(tidied(lambda b: filed(b, lists_of)), schema)
+        asking = asked.join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "vec_id", "v")
+        together = dealt.union(asking).repartition("list", "part").sortWithinPartitions("list", "part", "asks")
+        found = together.mapInArrow(tidied(compared), "query_id long, vec_id long, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return cut_lineage(once.withColumn("rank", place.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score"))
+
+    answers = answered(askers, within_ratio)
+    if len(index.points) == 1:  # all was read
+        return answers
+    homes = np.zeros(len(index.points), np.int64)  # a number for each centroid
+    for r in parts.select("list", "homes").collect():
+        homes[r["list"]] = r["homes"]
+
+    def with_enough(x: np.ndarray) -> list[np.ndarray]:
+        long, points = shared.value.lengthened(x, query=True), shared.value.points
+        square, out = np.einsum("ij,ij->i", points, points), []
+        for q in long:
+            far = np.sqrt(np.maximum(q @ q + square - 2 * points @ q, 0))
+            order = np.argsort(far, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(homes[order]), WIDER * list_size)) + 1
+            out.append(order[: max(enough, int((far <= max(far.min(), shared.value.usual) * search_ratio + 1e-12).sum()))])
+        return out
+
+    def every_list(x: np.ndarray) -> list[np.ndarray]:
+        return [np.arange(len(homes))] * len(x)
+
+    for wider in (with_enough, every_list):
+        full = answers.where(F.col("rank") == neighbours).select(F.col("query_id").alias("vec_id"))
+        short = askers.join(full, "vec_id", "left_anti")
+        if short.isEmpty():
+            break
+        again = answered(short, wider)
+        answers = answers.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(again.columns).union(again)
+    return answers

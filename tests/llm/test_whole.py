@@ -165,6 +165,36 @@ def test_many_rows_of_one_id_leave_room_for_the_other_neighbours(spark, step):
     assert [r.vec_id for r in got] == [i for i in np.argsort(-score).tolist() if i != 0][:20]
 
 
+def test_queries_of_a_small_group_far_away_find_as_many_as_they_want(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 8)) * 0.05 + 1, rng.normal(size=(6, 8)) * 0.05 - 9, rng.normal(size=(7, 8)) * 0.01 + 30 * np.eye(8)[0]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, x[3000].tolist())] * 30
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 2990, list_size=20).collect()
+    for q in range(2990, len(x)):
+        score = x @ x[q]
+        want = set([i for i in np.argsort(-score).tolist() if i != q][:20])
+        mine = [r for r in got if r.query_id == q]
+        assert sorted(r["rank"] for r in mine) == list(range(1, 21)) and len({r.vec_id for r in mine}) == 20
+        if 3000 <= q < 3006:
+            assert {i for i in want if 3000 <= i < 3006} <= {r.vec_id for r in mine}
+
+
+def test_equal_vectors_score_alike_in_all_lists_and_blocks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 24))
+    x = np.repeat(base, 50, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, list_size=50, list_cap=70).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r)
+    for q, found in by.items():
+        group = int(np.argmax(base @ x[q]))
+        want = [i for i in range(group * 50, group * 50 + 50) if i != q][:20]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == want and len({r.score for r in found}) == 1
+    assert len(by) == 100
+
+
 @pytest.mark.parametrize("broadcast_intervals", [100, 0])
 def test_list_entries_of_any_depth_cover_captures(spark, broadcast_intervals):
     entries = [("example.com/a/b/c", "three", "add", "2024-01-01"), ("example.com/a/b/c/d/e", "five", "add", "2024-01-01"), ("example.com/a/b", "two", "add", "2024-01-01")]
