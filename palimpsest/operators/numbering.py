@@ -80,8 +80,8 @@ def _ranked(new: DataFrame, rows_per_task: int) -> DataFrame:
     return dealt.withColumn("inside", inside).join(moved, ["range", "pii_type"]).select("key", "pii_type", (F.col("inside") + F.col("before")).alias("rank"))
 
 
-def number(mentions: DataFrame, known: DataFrame | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
-    """All entities (key, pii_type, index) after mentions (key, pii_type, doc_ord, beg).
+def newly_numbered(mentions: DataFrame, known: DataFrame | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Entities (key, pii_type, index) of mentions (key, pii_type, doc_ord, beg) that are not known yet.
 
     An entity that several kinds claim (by a key of one's own) has the kind of its first mention.
     """
@@ -92,4 +92,13 @@ def number(mentions: DataFrame, known: DataFrame | None = None, rows_per_task: i
         return ranked.select("key", "pii_type", F.col("rank").cast("long").alias("index"))
     offset = known.groupBy(F.substring_index("key", ":", 1).alias("pii_type")).agg((F.max("index") + 1).alias("next"))
     numbered = ranked.join(F.broadcast(offset), "pii_type", "left")  # a row for each kind
-    return known.select("key", "pii_type", F.col("index").cast("long")).union(numbered.select("key", "pii_type", (F.col("rank") + F.coalesce("next", F.lit(0))).cast("long")))
+    return numbered.select("key", "pii_type", (F.col("rank") + F.coalesce("next", F.lit(0))).cast("long").alias("index"))
+
+
+def all_known(known: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if known is None else known.select("key", "pii_type", F.col("index").cast("long")).union(new)
+
+
+def number(mentions: DataFrame, known: DataFrame | None = None, rows_per_task: int = 1_000_000) -> DataFrame:
+    """All entities (key, pii_type, index) after mentions (key, pii_type, doc_ord, beg)."""
+    return all_known(known, newly_numbered(mentions, known, rows_per_task))

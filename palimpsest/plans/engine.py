@@ -20,7 +20,7 @@ from palimpsest.findings import FINDINGS, Finding
 from palimpsest.limits import Limits
 from palimpsest.locales import DEFAULT_LOCALE
 from palimpsest.operators.detectors import Detector, PythonDetector
-from palimpsest.operators.numbering import TokenMap, number
+from palimpsest.operators.numbering import TokenMap, all_known, newly_numbered
 from palimpsest.operators.registry import Registry, default_registry
 from palimpsest.operators.render import Renderer, Token, rebuild, replaceable
 from palimpsest.operators.resolve import Strategy, resolve
@@ -36,6 +36,8 @@ class ScrubResult:
     tokens: TokenMap
     #: (document, doc_ord, detector, error): texts that a Python detector failed on, where that was looked for.
     failed: DataFrame | None = None
+    #: (key, pii_type, index): what this run adds to the token map, where entities are numbered.
+    new_entities: DataFrame | None = None
 
 
 #: Columns of annotated documents: a row's own key, errors of detectors, findings before resolution.
@@ -178,12 +180,14 @@ class Scrubber:
         if renderer.needs_hash:
             spans = _once(spans.withColumn("_hashes", renderer.hashes(F.transform("_spans", lambda f: f["text"]))), "_hashes")
             hashed = lambda i: F.get("_hashes", i)
-        counts, index = tokens.counts, lambda i: None
+        counts, new, index = tokens.counts, None, lambda i: None
         if renderer.needs_index:
             mentions = annotated.where(F.size("findings") > 0).select(_ROW, "doc_ord", F.posexplode(replaceable(F.col("findings"))).alias("at", "f"))
             mentions = mentions.select(_ROW, "at", "doc_ord", "f.beg", "f.pii_type", tokens.group_key(F.col("f")).alias("key"))
-            counts = cut_lineage(number(mentions, tokens.counts))
-            numbered = mentions.join(counts.select("key", "index"), "key", "left").groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("at", "index"))).alias("_numbers"))
+            new = cut_lineage(newly_numbered(mentions, tokens.counts))
+            counts = all_known(tokens.counts, new)
+            used = new if tokens.counts is None else cut_lineage(counts.join(mentions.select("key").distinct(), "key", "left_semi"))  # texts need no other numbers
+            numbered = mentions.join(used.select("key", "index"), "key", "left").groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("at", "index"))).alias("_numbers"))
             none = F.array().cast("array<struct<at:int,index:bigint>>")
             some = spans.where(F.size("_spans") > 0).join(numbered, _ROW)
             spans = some.unionByName(spans.where(F.size("_spans") == 0).withColumn("_numbers", none))
@@ -197,7 +201,7 @@ class Scrubber:
             latest = rendered.groupBy("t.token").agg(F.max_by("t.original", F.struct("doc_ord", "t.beg", "t.original")).alias("original"))
             old = tokens.originals
             after.originals = latest if old is None else old.join(latest.select("token"), "token", "left_anti").union(latest)
-        return ScrubResult(cleaned, explode_findings(annotated), after, failed)
+        return ScrubResult(cleaned, explode_findings(annotated), after, failed, new)
 
     def clean_documents(self, source: Any, **columns: str) -> DataFrame:
         """(document, doc_ord, text) cleaned."""

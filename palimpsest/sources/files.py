@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.numbering import TokenMap
+from palimpsest.plans.lineage import cut_lineage
 
 
 def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -23,11 +24,14 @@ def write_cleaned(documents: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def write_tokens(tokens: TokenMap, path: str, include_originals: bool = False, mode: str = "errorifexists") -> None:
-    """The token map as tables; originals undo the scrubbing and are withheld unless asked for."""
-    if tokens.counts is not None:
-        tokens.counts.write.mode(mode).parquet(f"{path}/counts")
-    if include_originals and tokens.originals is not None:
-        tokens.originals.write.mode(mode).parquet(f"{path}/originals")
+    """The token map as tables; originals undo the scrubbing and are withheld unless asked for.
+
+    With ``overwrite`` both are checkpointed before either is written: they may come from the tables that go.
+    """
+    tables = {"counts": tokens.counts, "originals": tokens.originals if include_originals else None}
+    ready = {name: cut_lineage(t) if mode == "overwrite" else t for name, t in tables.items() if t is not None}
+    for name, t in ready.items():
+        t.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def read_tokens(spark: SparkSession, path: str, originals: bool = False) -> TokenMap:

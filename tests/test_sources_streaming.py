@@ -9,7 +9,7 @@ from palimpsest import Scrubber, Token, TokenMap
 from palimpsest.plans import catalogue
 from palimpsest.sources import findings_json, findings_tsv, read_text_files, read_tokens, write_cleaned, write_tokens
 from palimpsest.sql import clean_view, findings_view, register_table_function
-from palimpsest.streaming import clean_stream, findings_per_window, number_stream
+from palimpsest.streaming import clean_stream, findings_per_window, number_stream, stream_tokens
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -69,6 +69,29 @@ def test_a_stream_is_numbered_from_batch_to_batch(spark, arriving, tmp_path):
         for word in text.split()[1:]:
             numbers[word] = numbers.get(word, 0) + 1
     assert sorted(numbers) == ["{{EMAIL-0}}", "{{EMAIL-1}}", "{{EMAIL-2}}"] and sorted(numbers.values()) == [1, 2, 2]
+    added = {b: {r.key for r in spark.read.parquet(f"{tmp_path}/tokens/counts/batch={b}").collect()} for b in range(3)}
+    assert sum(map(len, added.values())) == 3 and set.union(*added.values()) == {"email:a@b.io", "email:c@d.io", "email:e@f.io"}
+    assert len(stream_tokens(spark, f"{tmp_path}/tokens")) == 3 and not (tmp_path / "tokens/originals").exists()
+
+
+def test_a_stream_keeps_originals_that_undo_it(spark, arriving, tmp_path):
+    scrubber = Scrubber(renderer=Token(include_count=True), tokens=TokenMap(keep_originals=True))
+    number_stream(scrubber, arriving.drop("at"), f"{tmp_path}/out", f"{tmp_path}/tokens", f"{tmp_path}/log", trigger={"availableNow": True}).awaitTermination()
+    tokens = stream_tokens(spark, f"{tmp_path}/tokens", originals=True)
+    undone = set()
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        undone.add(" ".join(tokens.original_of(w) if w.startswith("{{") else w for w in r.text.split()))
+    assert undone == {"x a@b.io", "y c@d.io a@b.io", "z c@d.io e@f.io"}
+
+
+def test_a_token_map_goes_back_where_it_came_from(spark, tmp_path):
+    for text, keys in (("a@b.io", {"email:a@b.io": 0}), ("c@d.io a@b.io", {"email:a@b.io": 0, "email:c@d.io": 1}), ("a@b.io", {"email:a@b.io": 0, "email:c@d.io": 1})):
+        path = f"{tmp_path}/tokens"
+        before = read_tokens(spark, path, originals=True) if (tmp_path / "tokens").exists() else TokenMap(keep_originals=True)
+        result = Scrubber(renderer=Token(include_count=True), tokens=before).scrub_documents(spark.createDataFrame([("d", 0, text)], "document string, doc_ord long, text string"))
+        write_tokens(result.tokens, path, include_originals=True, mode="overwrite")
+        assert {r.key: r["index"] for r in read_tokens(spark, path).counts.collect()} == keys
+        assert result.documents.head()["text"] == " ".join(f"{{{{EMAIL-{keys['email:' + w]}}}}}" for w in text.split())  # the old map is gone by now
 
 
 def test_sql(spark):
