@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import cut_lineage, fraction_of, tidied
 
@@ -68,38 +69,34 @@ class Centroids:
 
         In a crowd the nearest centroid is next to nothing away, and a ratio of that would leave out whatever
         lies around the crowd: no less than the usual distance of a vector to its centroid counts. A walk from
-        the entry points expands the nearest unexpanded centroid until that lies beyond the ratio or, where
-        only ``most`` are wanted, beyond four times as many that it has in view.
+        the entry points expands, wave by wave, all centroids in view within the ratio of the nearest one seen
+        and, where only ``most`` are wanted, among the four times as many nearest; it ends where none is left.
         """
         out: list[np.ndarray] = []
-        beam = 4 * (most or 0)
+        beam, k = 4 * (most or 0), len(self.points)
         squares = np.einsum("ij,ij->i", self.points, self.points)
         for at in range(0, len(x), 256):
             block = x[at : at + 256]
-            n, k = len(block), len(self.points)
-            distance = np.full((n, k), np.inf)
-            expanded = np.zeros((n, k), bool)
-            own = np.einsum("ij,ij->i", block, block)[:, None]
-
-            def look(rows: np.ndarray, nodes: np.ndarray, block=block, own=own, distance=distance) -> None:
-                d = own[rows] + squares[nodes] - 2 * np.einsum("ij,ikj->ik", block[rows], self.points[nodes])
-                distance[rows[:, None], nodes] = np.sqrt(np.maximum(d, 0))
-
-            look(np.arange(n), np.broadcast_to(self.entry, (n, len(self.entry))))
-            while True:
-                best = np.maximum(distance.min(axis=1), self.usual)
-                open_ = np.where(expanded, np.inf, distance)
-                nodes = open_.argmin(axis=1)
-                bound = best * ratio + 1e-12
+            n = len(block)
+            distance, unexpanded = np.full((n, k), np.inf), np.zeros((n, k), bool)
+            own = np.einsum("ij,ij->i", block, block)
+            live, rows, nodes = np.arange(n), np.repeat(np.arange(n), len(self.entry)), np.tile(self.entry, n)
+            while len(live):
+                reached = np.zeros((n, k), bool)
+                reached[rows, nodes] = True
+                rows, nodes = np.divmod(np.flatnonzero(reached & np.isinf(distance)), k)
+                d = own[rows] + squares[nodes] - 2 * np.einsum("ij,ij->i", block[rows], self.points[nodes])
+                distance[rows, nodes] = np.sqrt(np.maximum(d, 0))
+                unexpanded[rows, nodes] = True
+                seen = distance[live]
+                bound = np.maximum(seen.min(axis=1), self.usual) * ratio + 1e-12
                 if most and beam < k:
-                    bound = np.minimum(bound, np.partition(distance, beam - 1, axis=1)[:, beam - 1])
-                rows = np.flatnonzero(open_[np.arange(n), nodes] <= bound)
-                if not len(rows):
-                    break
-                width = min(4, k)
-                nodes = np.argpartition(open_[rows], width - 1, axis=1)[:, :width]
-                expanded[rows[:, None], nodes] = True
-                look(rows, self.graph[nodes].reshape(len(rows), -1))
+                    bound = np.minimum(bound, np.partition(seen, beam - 1, axis=1)[:, beam - 1])
+                rows, nodes = np.nonzero(unexpanded[live] & (seen <= bound[:, None]))
+                rows = live[rows]
+                unexpanded[rows, nodes] = False
+                live = np.unique(rows)  # a row without a centroid to expand is done
+                rows, nodes = np.repeat(rows, self.graph.shape[1]), self.graph[nodes].ravel()
             order = np.argsort(distance, axis=1, kind="stable")
             count = (distance <= np.maximum(distance.min(axis=1, keepdims=True), self.usual) * ratio + 1e-12).sum(axis=1)
             out += [order[i, : min(int(count[i]), most or k)] for i in range(n)]
@@ -160,6 +157,77 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1).astype(np.float64)
 
 
+def compared(batches: Iterator[pa.RecordBatch], stored: np.dtype, dimension: int, neighbours: int, longest: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (list, part, asks, id, vector), sorted by the first three, the nearest found of each asker: query_id, vec_id, score."""
+    best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+    at, ids, points = None, [], []
+    posted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def shrunk() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        q, v, s = (np.concatenate(c) for c in zip(*best, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        same = np.concatenate([[False], (q[1:] == q[:-1]) & (v[1:] == v[:-1])])
+        q, v, s = q[~same], v[~same], s[~same]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(q)) + 1])
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
+        keep = place < neighbours
+        return [(q[keep], v[keep], s[keep])]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for q, v, s in shrunk() if best else []:
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    for batch in batches:
+        lists, pieces, asks = (batch.column(i).to_numpy() for i in range(3))
+        every, raw = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+        edges = np.flatnonzero((np.diff(lists) != 0) | (np.diff(pieces) != 0) | (np.diff(asks) != 0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(lists)], strict=True):
+            if a == b:
+                continue
+            x = np.frombuffer(b"".join(raw[a:b]), stored).reshape(b - a, dimension).astype(np.float64)
+            if at != (lists[a], pieces[a]):
+                at, ids, points, posted = (lists[a], pieces[a]), [], [], None
+            if not asks[a]:
+                ids.append(every[a:b])
+                points.append(x)
+                continue
+            if not ids:
+                continue
+            if posted is None:  # rows of one id lie together
+                own = np.concatenate(ids)
+                order = np.argsort(own, kind="stable")
+                names, first = np.unique(own[order], return_index=True)
+                posted = names, np.concatenate(points)[order], first
+            for lo in range(0, b - a, 256):
+                who = every[a + lo : min(b, a + lo + 256)]
+                score = x[lo : lo + 256] @ posted[1].T
+                if len(posted[0]) < score.shape[1]:
+                    score = np.maximum.reduceat(score, posted[2], axis=1)
+                score[who[:, None] == posted[0][None, :]] = -np.inf
+                k = min(neighbours + 8, score.shape[1])
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(k), score.shape)
+                asker = x[lo : lo + 256]
+                slack = 4 * dimension * np.finfo(float).eps * longest * np.linalg.norm(asker, axis=1)  # matrix products round by block
+                cutoff = np.take_along_axis(score, top, 1).min(axis=1) - slack
+                row, col = np.nonzero((score >= cutoff[:, None]) & (score > -np.inf))  # ties with the last one too
+                begin, end = posted[2][col], np.append(posted[2][1:], len(posted[1]))[col]
+                exact = np.full(len(row), -np.inf)
+                for step in range(int((end - begin).max(initial=0))):  # an id's rows, mostly one
+                    has = np.flatnonzero(begin + step < end)
+                    exact[has] = np.maximum(exact[has], _inner(asker[row[has]], posted[1][begin[has] + step]))
+                best.append((who[row], posted[0][col], exact))
+                held += len(row)
+            if held > 1_000_000:
+                best = shrunk()
+                held = len(best[0][0])
+                if held > 500_000:
+                    yield from flush()
+                    best, held = [], 0
+    yield from flush()
+
+
 def search(
     vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, sample: int = SAMPLE, list_size: int = LIST_SIZE,
     list_cap: int = LIST_CAP, replicas: int = REPLICAS, file_ratio: float = FILE_RATIO, search_ratio: float = SEARCH_RATIO,
@@ -173,17 +241,26 @@ def search(
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("_query", F.coalesce(is_query, F.lit(False)))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), "_query").where(F.col("vec_id").isNotNull() & usable("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("long2")).orderBy(F.desc("n"), "d").head()
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # shuffled as they are; all sums are in double precision
+    stored = np.dtype("<f4" if single else "<f8")
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), "_query").where(F.col("vec_id").isNotNull() & usable("v"))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("long2")).orderBy(F.desc("n"), "d").head()
     result = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], result)
     dimension, count, longest = sizes["d"], sizes["n"], float(np.sqrt(sizes["long2"]))
     rows = rows.where(F.size("v") == dimension)
-    drawn = rows.where(fraction_of([F.col("vec_id"), F.col("v")]) < F.lit(min(1.0, sample / count))).select("v").toArrow().column(0).combine_chunks()
+    drawn = rows.where(fraction_of([F.col("vec_id"), F.col("v")]) < F.lit(min(1.0, sample / count))).select("vec_id", "v").distinct().toArrow().column("v").combine_chunks()
     lists = max(1, min(count // list_size, MOST_LISTS, len(drawn) // 8))
-    index = fit_centroids(_matrix(drawn) if len(drawn) else np.ones((1, dimension)), lists, longest)
+    learned = _matrix(drawn) if len(drawn) else np.ones((1, dimension))
+    index = fit_centroids(learned, lists, longest)
     shared = spark.sparkContext.broadcast(index)
+    filings = index.file_under(index.lengthened(learned, query=False), replicas, file_ratio)
+    share = count / len(learned)  # how long a list is, is judged by the sample: it decides only over how many tasks the list is dealt
+    parts = np.maximum(1, np.ceil(np.bincount(np.concatenate(filings), minlength=len(index.points)) * share / list_cap)).astype(np.int32)
+    homes = np.bincount([f[0] for f in filings], minlength=len(index.points)) * share
 
     def filed(batches: Iterator[pa.RecordBatch], lists_of: Callable[[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +269,10 @@ def search(
             x = _matrix(batch.column(1))
             found = lists_of(x)
             which = np.repeat(np.arange(len(x)), [len(f) for f in found])
-            home = np.concatenate([np.arange(len(f)) == 0 for f in found])
-            data = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(which))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(which)), data, pa.array(home)], names=["list", "vec_id", "v", "home"])
+            lists = np.concatenate(found)
+            data = pa.array([r.tobytes() for r in x.astype(stored)], pa.binary()).take(pa.array(which))
+            columns = [pa.array(lists.astype(np.int32)), pa.array(parts[lists]), batch.column(0).take(pa.array(which)), data]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "parts", "vec_id", "v"])
 
     def posting(x: np.ndarray) -> list[np.ndarray]:
         return shared.value.file_under(shared.value.lengthened(x, query=False), replicas, file_ratio)
@@ -202,98 +280,24 @@ def search(
     def within_ratio(x: np.ndarray) -> list[np.ndarray]:
         return shared.value.near(shared.value.lengthened(x, query=True), search_ratio)
 
-    schema = "list int, vec_id long, v binary, home boolean"
+    schema = "list int, parts int, vec_id long, v binary"
     postings = rows.select("vec_id", "v").distinct().mapInArrow(tidied(lambda b: filed(b, posting)), schema)
     askers = rows.where("_query").select("vec_id", "v").distinct()
-    parts = cut_lineage(postings.groupBy("list").agg(F.ceil(F.count("*") / list_cap).cast("int").alias("parts"), F.count_if("home").alias("homes")))
-    cut = F.broadcast(parts.select("list", "parts"))  # a row for each centroid: MOST_LISTS at most
-    dealt = postings.join(cut, "list").select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
-        at, ids, points = None, [], []
-        posted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-        def shrunk() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            q, v, s = (np.concatenate(c) for c in zip(*best, strict=True))
-            order = np.lexsort((v, -s, q))
-            q, v, s = q[order], v[order], s[order]
-            same = np.concatenate([[False], (q[1:] == q[:-1]) & (v[1:] == v[:-1])])
-            q, v, s = q[~same], v[~same], s[~same]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(q)) + 1])
-            place = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
-            keep = place < neighbours
-            return [(q[keep], v[keep], s[keep])]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for q, v, s in shrunk() if best else []:
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            lists, pieces, asks = (batch.column(i).to_numpy() for i in range(3))
-            every, raw = batch.column(3).to_numpy(), batch.column(4).to_pylist()
-            edges = np.flatnonzero((np.diff(lists) != 0) | (np.diff(pieces) != 0) | (np.diff(asks) != 0)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(lists)], strict=True):
-                if a == b:
-                    continue
-                x = np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, dimension)
-                if at != (lists[a], pieces[a]):
-                    at, ids, points, posted = (lists[a], pieces[a]), [], [], None
-                if not asks[a]:
-                    ids.append(every[a:b])
-                    points.append(x)
-                    continue
-                if not ids:
-                    continue
-                if posted is None:  # rows of one id lie together
-                    own = np.concatenate(ids)
-                    order = np.argsort(own, kind="stable")
-                    names, first = np.unique(own[order], return_index=True)
-                    posted = names, np.concatenate(points)[order], first
-                for lo in range(0, b - a, 256):
-                    who = every[a + lo : min(b, a + lo + 256)]
-                    score = x[lo : lo + 256] @ posted[1].T
-                    if len(posted[0]) < score.shape[1]:
-                        score = np.maximum.reduceat(score, posted[2], axis=1)
-                    score[who[:, None] == posted[0][None, :]] = -np.inf
-                    k = min(neighbours + 8, score.shape[1])
-                    top = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(k), score.shape)
-                    asker = x[lo : lo + 256]
-                    slack = 4 * dimension * np.finfo(float).eps * longest * np.linalg.norm(asker, axis=1)  # matrix products round by block
-                    cutoff = np.take_along_axis(score, top, 1).min(axis=1) - slack
-                    row, col = np.nonzero((score >= cutoff[:, None]) & (score > -np.inf))  # ties with the last one too
-                    begin, end = posted[2][col], np.append(posted[2][1:], len(posted[1]))[col]
-                    exact = np.full(len(row), -np.inf)
-                    for step in range(int((end - begin).max(initial=0))):  # an id's rows, mostly one
-                        has = np.flatnonzero(begin + step < end)
-                        exact[has] = np.maximum(exact[has], _inner(asker[row[has]], posted[1][begin[has] + step]))
-                    best.append((who[row], posted[0][col], exact))
-                    held += len(row)
-                if held > 1_000_000:
-                    best = shrunk()
-                    held = len(best[0][0])
-                    if held > 500_000:
-                        yield from flush()
-                        best, held = [], 0
-        yield from flush()
+    dealt = postings.select("list", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
     def answered(who: DataFrame, lists_of: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
         asked = who.mapInArrow(tidied(lambda b: filed(b, lists_of)), schema)
-        asking = asked.join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "vec_id", "v")
+        asking = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "vec_id", "v")
         together = dealt.union(asking).repartition("list", "part").sortWithinPartitions("list", "part", "asks")
-        found = together.mapInArrow(tidied(compared), "query_id long, vec_id long, score double")
+        found = together.mapInArrow(tidied(lambda b: compared(b, stored, dimension, neighbours, longest)), "query_id long, vec_id long, score double")
         once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return cut_lineage(once.withColumn("rank", place.cast("int")).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score"))
 
     answers = answered(askers, within_ratio)
     if len(index.points) == 1:  # all was read
         return answers
-    homes = np.zeros(len(index.points), np.int64)  # a number for each centroid
-    for r in parts.select("list", "homes").collect():
-        homes[r["list"]] = r["homes"]
 
     def with_enough(x: np.ndarray) -> list[np.ndarray]:
         long, points = shared.value.lengthened(x, query=True), shared.value.points
