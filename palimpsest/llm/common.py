@@ -70,14 +70,33 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table written as Parquet into the shared folder and read again; deleted when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+def _saved(df: DataFrame) -> str:
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
+    _file_system(df.sparkSession, path, "deleteOnExit")
+    return path
+
+
+def _file_system(spark: SparkSession, path: str, call: str, *more: bool) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.parquet(path)
+    getattr(place.getFileSystem(spark._jsc.hadoopConfiguration()), call)(place, *more)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written as Parquet into the shared folder and read again; deleted when the session's JVM ends."""
+    return df.sparkSession.read.parquet(_saved(df))
+
+
+def in_turn(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The table after all steps, each written before the next one reads it; what a step wrote is deleted when the next has read it."""
+    spark, before = df.sparkSession, None
+    for step in steps:
+        path = _saved(step(df))
+        df = spark.read.parquet(path)
+        if before:
+            _file_system(spark, before, "delete", True)
+        before = path
+    return df
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,27 +7,31 @@ when they occur whole. Matched spans are removed, and documents of which more th
 matched go altogether.
 
 The scan is a narrow operation over the documents. The benchmark is split into automata of a bounded
-number of words, each of which is broadcast. A cut needs the matches of all of them on the same text, so
-one worker holds them all, some 350 bytes a word: a benchmark of more words than MOST_WORDS is refused.
+number of words, each of which is broadcast; one worker holds several, some 350 bytes a word. A benchmark of
+more than ``worker_words`` words is scanned for in several passes over the documents, written one after
+another. A cut needs the matches of all automata on the same text, so it waits for the last pass; only
+texts that were cut are scanned again. The result is the same for any number of automata and passes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import text_batches, tidied
+from palimpsest.llm.common import free_name, in_turn, text_batches, tidied
 
 WINDOW = 10
 #: Words of test items in one broadcast automaton: some 100 MB in a worker at most.
 AUTOMATON_WORDS = 300_000
-#: Words of test items in all automata together: some 2 GB in a worker.
-MOST_WORDS = 6_000_000
+#: Words of test items in all automata that a worker holds at once: some 1 GB.
+WORKER_WORDS = 3_000_000
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. On UTF-8 bytes
 #: this table maps letters to lower case and every other ASCII character to a space.
@@ -156,14 +160,9 @@ class SuffixAutomaton:
 
 
 def automata(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> Iterator[SuffixAutomaton]:
-    """The benchmark as automata of about ``most_words`` words each; items without id or words take no part.
-
-    The benchmark is read twice, once for its size: ValueError if it has more than MOST_WORDS words.
-    """
+    """The benchmark, read twice (once for its size), as automata of about ``most_words`` words each; items without id or words take no part."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).head()[0] or 0
-    if total > 5 * MOST_WORDS:
-        raise ValueError(f"a benchmark of {total} characters is more than workers can hold")
     shards = max(1, -(-total // (5 * most_words)))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))).sort("shard", "item_id", "text")
     own, at = [], 0
@@ -176,44 +175,84 @@ def automata(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text
     yield SuffixAutomaton(own, window)
 
 
+def _union(spans: list[list[int]]) -> list[list[int]]:
+    found: list[list[int]] = []
+    for a, b in sorted(spans):
+        SuffixAutomaton._cover(found, a, b)
+    return found
+
+
 def _scanned(known: list[SuffixAutomaton], words: list[bytes]) -> tuple[list[list[int]], set[int]]:
     """Matched word intervals (disjoint, ascending) and items of all automata."""
     each = [one.scan(words) for one in known]
     if len(each) == 1:
         return each[0]
-    found: list[list[int]] = []
-    for a, b in sorted(span for spans, _ in each for span in spans):
-        SuffixAutomaton._cover(found, a, b)
-    return found, set().union(*(items for _, items in each))
+    return _union([span for spans, _ in each for span in spans]), set().union(*(items for _, items in each))
+
+
+def _groups(items: DataFrame, window: int, most_words: int, worker_words: int) -> list[list[Broadcast]]:
+    """The automata, broadcast, in groups that a worker holds together."""
+    shared = [items.sparkSession.sparkContext.broadcast(one) for one in automata(items, window=window, most_words=most_words)]
+    size = max(1, worker_words // most_words)
+    return [shared[i : i + size] for i in range(0, len(shared), size)]
+
+
+def _matched(docs: DataFrame, place: int, groups: list[list[Broadcast]], *, keep_text: bool) -> tuple[DataFrame, str, str, str]:
+    """The documents with three more columns, and their names: words, matched intervals of words, items, of all groups."""
+    names = tuple(free_name(docs, name) for name in ("n_words", "hits", "item_ids"))
+    kinds = ("long", "array<array<int>>", "array<long>")
+    rows = docs.withColumns({names[0]: F.lit(0).cast(kinds[0]), **{n: F.array().cast(k) for n, k in zip(names[1:], kinds[1:], strict=True)}})
+    arrow = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
+    kept_fields = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != place]
+
+    def by(group: list[Broadcast], last: bool) -> Callable[[DataFrame], DataFrame]:
+        drop = last and not keep_text
+        fields = [*(kept_fields if drop else docs.schema.fields), *T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))).fields]
 
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = [one.value for one in group]
+            for batch in batches:
+                counts, hits, ids = [], [], []
+                for text, spans, had in zip(*(batch.column(c).to_pylist() for c in (place, -2, -1)), strict=True):
+                    words = words_of(text)
+                    found, matched = _scanned(known, words)
+                    counts.append(len(words))
+                    hits.append(_union(spans + found) if spans else found)
+                    ids.append(sorted(matched.union(had)))
+                before = [c for i, c in enumerate(batch.columns[:-3]) if not (drop and i == place)]
+                yield pa.RecordBatch.from_arrays([*before, *(pa.array(c, k) for c, k in zip((counts, hits, ids), arrow, strict=True))], names=[f.name for f in fields])
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+        return lambda df: df.mapInArrow(tidied(scanned), T.StructType(fields))
+
+    steps = [by(group, group is groups[-1]) for group in groups]
+    return steps[0](rows) if len(steps) == 1 else in_turn(rows, steps), *names
+
+
+def _n_hit(hits: str) -> Column:
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda n, span: n + span[1] - span[0])
+
+
+def find_contamination(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_words: int = AUTOMATON_WORDS, worker_words: int = WORKER_WORDS
+) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, hits (word intervals), item_ids (matched, distinct, ascending).
 
     A null or empty text has no words; repeated rows are reported as often as they occur; an empty
     benchmark matches nothing; other columns of either table are ignored.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_hit long, hits array<array<int>>, item_ids array<long>").fields])
-    shared = [spark.sparkContext.broadcast(one) for one in automata(items, window=window, most_words=most_words)]
+    found, words, hits, ids = _matched(rows, 1, _groups(items, window, most_words, worker_words), keep_text=False)
+    return found.select("doc_id", words, _n_hit(hits).alias("n_hit"), hits, ids)
 
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [one.value for one in shared]
-        for batch in batches:
-            counts, covered, hits, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                found, matched = _scanned(known, words)
-                counts.append(len(words))
-                covered.append(sum(b - a for a, b in found))
-                hits.append(found)
-                ids.append(sorted(matched))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((counts, covered, hits, ids), kinds, strict=True))], names=schema.names)
 
-    return rows.mapInArrow(tidied(scanned), schema)
+def _cut(raw: bytes, found: list[list[int]]) -> bytes:
+    """The text without the words of the intervals, and what lies between them."""
+    spans, kept, at = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))], [], 0
+    for a, b in found:
+        kept.append(raw[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return b"".join([*kept, raw[at:]])
 
 
 def clean_text(text: str, automata: list[SuffixAutomaton]) -> tuple[str, int, int]:
@@ -229,22 +268,23 @@ def clean_text(text: str, automata: list[SuffixAutomaton]) -> tuple[str, int, in
             first = (len(words), sum(b - a for a, b in found))
         if not found:
             return raw.decode("utf-8", "surrogatepass"), *first
-        spans, kept, at = [m.span() for m in _WORD.finditer(raw.translate(_NORMAL))], [], 0
-        for a, b in found:
-            kept.append(raw[at : spans[a][0]])
-            at = spans[b - 1][1]
-        raw = b"".join([*kept, raw[at:]])
+        raw = _cut(raw, found)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = WINDOW, most_coverage: float = 0.5, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, *, text_col: str = "text", window: int = WINDOW, most_coverage: float = 0.5, most_words: int = AUTOMATON_WORDS, worker_words: int = WORKER_WORDS
+) -> DataFrame:
     """The documents without matched spans; those matched over more than ``most_coverage`` of their words go.
 
     All columns are kept as they are but the text. Null and empty texts stay.
     """
-    spark, place = docs.sparkSession, docs.columns.index(text_col)
-    text_batches(spark)
-    schema = T.StructType(docs.schema.fields)
-    shared = [spark.sparkContext.broadcast(one) for one in automata(items, window=window, most_words=most_words)]
+    names, place = docs.columns, docs.columns.index(text_col)
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names that clash can neither be written nor mapped
+    text_batches(docs.sparkSession)
+    groups = _groups(items, window, most_words, worker_words)
+    if len(groups) > 1:
+        return _decontaminated_in_passes(docs, place, groups, most_coverage).toDF(*names)
+    shared = groups[0]
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [one.value for one in shared]
@@ -257,4 +297,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(tidied(cleaned), schema)
+    return docs.mapInArrow(tidied(cleaned), docs.schema).toDF(*names)
+
+
+def _decontaminated_in_passes(docs: DataFrame, place: int, groups: list[list[Broadcast]], most_coverage: float) -> DataFrame:
+    """As ``decontaminate``; each round scans for all groups, then cuts, and goes on with the texts that were cut."""
+    schema, done, rest, first = docs.schema, [], docs, True
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut(text.encode("utf-8", "surrogatepass"), found).decode("utf-8", "surrogatepass") for text, found in zip(batch.column(place).to_pylist(), batch.column(-2).to_pylist(), strict=True)]
+            columns = list(batch.columns[:-3])
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    while True:
+        seen, words, hits, ids = _matched(rest, place, groups, keep_text=True)
+        done.append(seen.where(F.size(hits) == 0).drop(words, hits, ids))
+        struck = seen.where(F.size(hits) > 0)
+        if first:
+            struck, first = struck.where(_n_hit(hits) <= most_coverage * F.col(words)), False
+        rest = struck.mapInArrow(tidied(cut), schema)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionAll, done)

@@ -216,16 +216,16 @@ def brute_contamination(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("most_words", [10**6, 60])
-def test_contamination(spark, odd, rows, empty, most_words):
+@pytest.mark.parametrize(("most_words", "worker_words"), [(10**6, 10**6), (60, 10**6), (300, 1000)])
+def test_contamination(spark, odd, rows, empty, most_words, worker_words):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     items += [(500, "short item"), (501, "ITEM, of-three"), (502, "item"), (503, None), (504, "..."), (None, "no id"), (505, "a b a b a b a b a b a b"), (505, "second text of one item id")]
     texts = rows + [(1, "x short item of three y"), (2, "b a b a b a b a b a b a b a b"), (3, "Item OF three short; item"), (4, (items[0][1] + " ") * 2), (5, "pre " + items[1][1][10:] + " post")]
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     want = Counter((i, *brute_contamination(t, items)[:2], tuple(brute_contamination(t, items)[2])) for i, t in texts)
-    got = decontaminate.find_contamination(docs, bench, most_words=most_words)
+    got = decontaminate.find_contamination(docs, bench, most_words=most_words, worker_words=worker_words)
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got.collect()) == want
-    cleaned = decontaminate.decontaminate(docs, bench, most_coverage=0.5, most_words=most_words).collect()
+    cleaned = decontaminate.decontaminate(docs, bench, most_coverage=0.5, most_words=most_words, worker_words=worker_words).collect()
     for r in cleaned:
         assert r.text is None or brute_contamination(r.text, items)[1] == 0
     untouched = {(i, t) for i, t in texts if not brute_contamination(t, items)[1]}

@@ -110,8 +110,8 @@ def test_near_dedup_of_crowds_is_that_of_brute_force(spark):
     assert sorted(r.doc_id for r in left) == [i for i in range(len(texts)) if of(i) == i]
 
 
-@pytest.mark.parametrize("most_words", [300_000, 12, 4])
-def test_decontamination_is_the_same_for_any_number_of_automata(spark, most_words):
+@pytest.mark.parametrize(("most_words", "worker_words"), [(300_000, 300_000), (12, 10**6), (4, 10**6), (100, 100), (20, 100)])
+def test_decontamination_is_the_same_for_any_number_of_automata_and_passes(spark, most_words, worker_words):
     rng = random.Random(9)
     items = [[f"i{k}x{n}" for n in range(25)] for k in range(8)]
     items += [items[0][5:10] + [f"o{n}" for n in range(10)], [f"o{n}" for n in range(5, 10)] + items[1][:12]]
@@ -139,7 +139,7 @@ def test_decontamination_is_the_same_for_any_number_of_automata(spark, most_word
             want[n] = words
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id long, text string")
-    got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(docs, bench, most_words=most_words).collect()}
+    got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(docs, bench, most_words=most_words, worker_words=worker_words).collect()}
     assert 0 < len(want) < len(texts) and got == want
 
 
@@ -203,3 +203,14 @@ def test_list_entries_of_any_depth_cover_captures(spark, broadcast_intervals):
     list_ = spark.createDataFrame(entries, "pattern string, category string, action string, dated string")
     got = {r.page_id: r.categories for r in urlfilter.evaluate(pages, list_, broadcast_intervals=broadcast_intervals).collect()}
     assert got == {0: "three,two", 1: "five,three,two", 2: "two", 3: "", 4: "", 5: ""}
+
+
+@pytest.mark.parametrize("worker_words", [1000, 10])
+def test_decontamination_leaves_columns_whose_names_clash(spark, worker_words):
+    words = {c: " ".join(f"{c}{i}" for i in range(12)) for c in "abc"}
+    docs = spark.createDataFrame([(1, words["a"] + " " + "z " * 40, "u"), (2, None, "v"), (3, "q r s", "x"), (4, words["b"], "x")], "doc_id long, text string, hits string")
+    docs = docs.select("*", docs.hits.alias("HITS"), docs.doc_id.alias("n_words"))
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(words.values())], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items, most_words=10, worker_words=worker_words)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, " " + "z " * 40, "u", "u", 1), (2, None, "v", "v", 2), (3, "q r s", "x", "x", 3)]
