@@ -523,9 +523,9 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.streaming import clean_stream
 
     schema = _table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents*").parquet(sf_dir)
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.[p]arquet")  # a pattern may meet a file or a folder; a plain path of a stream only a folder
     cleaned = clean_stream(Scrubber(detectors=["email"]), as_documents(docs.select("doc_id", "text"), id_col="doc_id"))
     home = shared_folder(spark)
     out = f"{home}/stream-{uuid.uuid4()}"
     cleaned.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/data").select(F.col("doc_ord").alias("doc_id"), "text")
+    return spark.read.schema(cleaned.schema).parquet(f"{out}/data").select(F.col("doc_ord").alias("doc_id"), "text")

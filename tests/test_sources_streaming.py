@@ -130,3 +130,17 @@ def test_queries_equal_their_sql(spark, name):
     columns = ", ".join(f'"{c}"' for c in df.columns)
     shown = lambda rows: sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in rows)
     assert shown(tuple(r) for r in df.collect()) == shown(want.select(columns).fetchall())
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_a_stream_reads_documents_of_one_file_or_a_folder_of_any(spark, tmp_path, files):
+    rows = [(i, f"mail a{i}@b.io" if i % 2 else None) for i in range(6)] if files else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(max(files, 1))
+    docs.write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/made")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "file/documents.parquet")
+    for form in ("folder", "file"):
+        docs.write.parquet(f"{tmp_path}/{form}/documents_old.parquet")
+        cleaned = catalogue.stream_clean(spark, f"{tmp_path}/{form}")
+        assert sorted(tuple(r) for r in cleaned.collect()) == [(i, t and "mail {{EMAIL}}") for i, t in rows]
