@@ -295,7 +295,9 @@ _SPANS = """select l_orderkey as document, l_linenumber as n, cast(l_partkey % 4
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_SPANS.replace('"end"', "end").replace("from lineitem", "from {lineitem}"), lineitem=_table(spark, sf_dir, "lineitem"))
+    """The spans with ``place``, which puts them in order: by n, and where lines of an order share it as they lie in the table."""
+    lines = _table(spark, sf_dir, "lineitem").select("*", F.struct(F.col("l_linenumber").isNull(), "l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("place"))
+    return spark.sql(_SPANS.replace('"end"', "end").replace("from lineitem", ", place from {lineitem}"), lineitem=lines)
 
 
 def _greedy_sql(order: str) -> str:
@@ -312,7 +314,7 @@ _CLUSTERS = f"""select *, sum(opens) over (partition by document order by beg, "
 
 @query(_greedy_sql('score desc, "end" - beg desc'))
 def resolve_highest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_rows(_spans(spark, sf_dir), "highest_score", order="n")
+    return resolve_rows(_spans(spark, sf_dir), "highest_score", order="place")
 
 
 @query(_greedy_sql('"end" - beg desc, score desc'))
