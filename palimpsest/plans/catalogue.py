@@ -319,7 +319,7 @@ def resolve_highest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_greedy_sql('"end" - beg desc, score desc'))
 def resolve_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_rows(_spans(spark, sf_dir), "longest", order="n")
+    return resolve_rows(_spans(spark, sf_dir), "longest", order="place")
 
 
 @query(_greedy_sql("score desc, \"end\" - beg desc, case detector when 'F' then 2 when 'O' then 1 else 0 end desc"))
