@@ -324,7 +324,7 @@ def resolve_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_greedy_sql("score desc, \"end\" - beg desc, case detector when 'F' then 2 when 'O' then 1 else 0 end desc"))
 def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_rows(_spans(spark, sf_dir), "highest_score", {"F": 2, "O": 1}, order="n")
+    return resolve_rows(_spans(spark, sf_dir), "highest_score", {"F": 2, "O": 1}, order="place")
 
 
 @query(f"""select document, min(beg) as beg, max("end") as "end", array_to_string(list_sort(list(distinct pii_type)), '+') as pii_type, array_to_string(list_sort(list(distinct detector)), '+') as detector, max(score) as score
