@@ -31,7 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near-duplicates."""
+    """Keeps one document, that with the smallest id, of each group of near-duplicates: SimHash and covering masks within
+    the radius, bands of min-hashes beyond it, and an exact check of what they find."""
     return simhash.keep_one(docs)
 
 

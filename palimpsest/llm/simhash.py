@@ -10,8 +10,9 @@ only; a bucket emits a spanning forest of its links, never its pairs. Large buck
 masks of another assignment, with the same guarantee.
 
 Texts whose word shingles have a similarity of 0.8 differ in some ten bits of 64 and often in twenty, for which
-masks would be a million tables. There bands of min-hashes say which texts meet (``keep_one``); fingerprints say
-which of them are compared first, and the shingles themselves which are linked.
+masks would be a million tables. So ``keep_one`` has the masks find what lies within the radius and adds bands of
+min-hashes for what lies beyond it; fingerprints say which texts are compared first, and the shingles themselves which
+are linked.
 """
 
 from __future__ import annotations
@@ -533,18 +534,33 @@ def _rarest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut_lineage(found.where("one.count > 1").select("t", F.col("one.key").alias("key")))
 
 
+def _masked(texts: DataFrame) -> DataFrame:
+    """Links (a, b) of texts (t, n, f0) that connect whatever has fingerprints f0 within the radius, by covering masks.
+
+    A text without shingles has no partner but those without any, which are one text.
+    """
+    prints = texts.where("n > 0").groupBy(F.col("f0").alias("fingerprint")).agg(F.min("t").alias("t"), F.count("*").alias("count"))
+    prints = cut_lineage(prints)
+    same = texts.where("n > 0").join(prints.where("count > 1").select(F.col("fingerprint").alias("f0"), F.col("t").alias("a")), "f0").where("a < t").select("a", F.col("t").alias("b"))
+    one, other = (prints.select(F.col("fingerprint").alias(c), F.col("t").alias("t" + c)) for c in "ab")
+    near = links(prints.select("fingerprint")).join(one, "a").join(other, "b")
+    return cut_lineage(near.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).union(same))
+
+
 def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of texts that connect whatever has a Jaccard similarity of ``similarity`` or more.
 
-    texts: (t, winner, n, f0..f3, keys), a row for each different text. 1. Texts that share a band meet in a bucket,
-    which gives a minimum spanning forest by the distance of the fingerprints. Buckets beyond BUCKET texts are dealt over
-    parts. 2. The links of these are checked by the exact similarity. What the forest joins is a crowd.
-    3. A crowd that is still in pieces is dealt over parts of BUCKET texts, and what lies outside its largest piece is
-    compared with each part. 4. In crowds of more than CROWD_PARTS parts texts meet by each of their rarest shingles in
+    texts: (t, winner, n, f0..f3, keys), a row for each different text. 1. Covering masks connect the texts whose
+    fingerprints lie within the radius, none left out. 2. Beyond it, texts that share a band meet in a bucket, which gives
+    a minimum spanning forest by the distance of the fingerprints. Buckets beyond BUCKET texts are dealt over parts.
+    3. The links of both are checked by the exact similarity. What they join is a crowd.
+    4. A crowd that is still in pieces is dealt over parts of BUCKET texts, and what lies outside its largest piece is
+    compared with each part. 5. In crowds of more than CROWD_PARTS parts texts meet by each of their rarest shingles in
     the crowd: so many that two texts of the similarity share one. Candidates are checked, the nearest of each text first
     and more in each round, until every one is checked or joins nothing; places where more than BUCKET texts meet are
     dealt over parts as well.
     """
+    masked = _masked(texts)
     size = F.col("n").cast("long").alias("n")
     banded = texts.select(F.explode("keys").alias("key"), "t", size, *_PRINTS)
     crowded = cut_lineage(banded.groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).alias("parts")))
@@ -560,7 +576,8 @@ def similar_links(docs: DataFrame, texts: DataFrame, *, id_col: str, text_col: s
     dealt = banded.repartition("key").sortWithinPartitions("key", "t")
     found = cut_lineage(dealt.mapInArrow(tidied(_compared), "a long, b long, w int").groupBy("a", "b").agg(F.min("w").alias("w")))
     parts = max(1, -(-found.count() // CANDIDATES))
-    forest = cut_lineage(found.repartition(parts, "a", "b").mapInArrow(tidied(_thin), "a long, b long, w int").select("a", "b"))
+    forest = found.repartition(parts, "a", "b").mapInArrow(tidied(_thin), "a long, b long, w int").select("a", "b")
+    forest = cut_lineage(masked.union(forest).distinct())
     near = connected(forest if hubs is None else forest.union(hubs))
     crowd = near.select(F.col("node").alias("t"), F.col("root").alias("crowd"))
     crowd = crowd.union(crowd.select("crowd", "crowd").distinct())  # a root is no node of its own star
@@ -617,7 +634,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The documents, one of each group of near-duplicates: that with the smallest id (null ids first), in full.
 
     Near-duplicates share ``similarity`` of their runs of ``words`` words (distinct ones, A-Z lower-cased) or are
-    connected by others that do. Texts with the same words (by a hash of 128 bits) are one text; those without any,
+    connected by others that do. Fingerprints within the radius are found by covering masks, others by bands; the runs of
+    words decide. Texts with the same words (by a hash of 128 bits) are one text; those without any,
     null or not, as well.
     """
     text_batches(docs.sparkSession)

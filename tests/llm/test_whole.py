@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,27 @@ def test_decontamination_leaves_columns_whose_names_clash(spark, worker_words):
     got = decontaminate.decontaminate(docs, items, most_words=10, worker_words=worker_words)
     assert got.columns == docs.columns
     assert sorted(tuple(r) for r in got.collect()) == [(1, " " + "z " * 40, "u", "u", 1), (2, None, "v", "v", 2), (3, "q r s", "x", "x", 3)]
+
+
+def test_covering_masks_alone_find_similar_texts_within_the_radius(spark):
+    """Bands are made such that no two texts share one; then links are those of the fingerprints, as far as the shingles agree."""
+    rng, rows = random.Random(4), []
+    while len(rows) < 12:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [" ".join(words), " ".join(words + ["more"])]
+    rows += ["alone " + " ".join(f"v{i}" for i in range(50)), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text_hash", "text"])
+    made = pa.Table.from_batches(list(simhash._measured(iter([batch]), 5))).to_pylist()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    texts = [(m["doc_id"], (m["doc_id"], hashes[m["doc_id"]]), m["n"], *(m[f"f{k}"] for k in range(4)), [m["doc_id"] * 100 + k for k in range(simhash.BANDS)] if m["n"] else []) for m in made]
+    texts = spark.createDataFrame(texts, "t long, winner struct<doc_id long, text_hash long>, n int, f0 long, f1 long, f2 long, f3 long, keys array<long>")
+    near = {(i, i + 1) for i in range(0, 12, 2) if ((made[i]["f0"] ^ made[i + 1]["f0"]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS}
+    assert len(near) >= 3
+    found = simhash.similar_links(docs, texts, id_col="doc_id", text_col="text", words=5, similarity=0.8)
+    assert {(r.a, r.b) for r in found.collect()} == near
+    none = simhash.similar_links(docs, texts, id_col="doc_id", text_col="text", words=5, similarity=0.9999)
+    assert none.count() == 0
+    same = texts.withColumn("f0", F.lit(7).cast("long"))  # one fingerprint for all: the shingles decide
+    found = simhash.similar_links(docs, same, id_col="doc_id", text_col="text", words=5, similarity=0.8)
+    assert {(r.a, r.b) for r in found.collect()} == {(i, i + 1) for i in range(0, 12, 2)}
